@@ -13,15 +13,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pageloom.operators.sets import first_per_group
 from pageloom.session import cut_lineage
 
 NO_PATH = "array<bigint>"
 
 
-def _first_n(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
-    """First n rows per group; Spark cuts each task's rows before the shuffle."""
-    by = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(by)).filter(F.col("_rn") <= n).drop("_rn")
+def trim_edges(edges: DataFrame, columns: list[str], depth: int, cap: int) -> DataFrame:
+    """Edges that can still matter under a cap per seed.
+
+    A page's target that comes after ``cap * (depth + 1)`` others of that page
+    cannot be returned: at most ``cap * depth`` of those were found on earlier
+    levels, so at least ``cap`` new ones precede it on its own level. Dropping
+    it is exact, and it bounds what a page with very many links contributes to
+    each join. Repeated targets keep their first position.
+    """
+    rest = [c for c in columns if c not in ("src", "pos", "dst")]
+    aggs = [F.min("pos").alias("pos"), *[F.min_by(c, "pos").alias(c) for c in rest]]
+    unique = edges.groupBy("src", "dst").agg(*aggs)
+    return first_per_group(unique, ["src"], ["pos"], cap * (depth + 1)).select(*columns)
 
 
 def _children(frontier: DataFrame, edges: DataFrame, group: str, anchor: bool) -> DataFrame:
@@ -43,6 +53,7 @@ def site_map(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_urls: int =
     to ``depth`` links away are expanded, so targets up to ``depth + 1`` are
     returned; a seed itself is returned only when something links to it.
     """
+    edges = trim_edges(edges, ["src", "pos", "dst", "anchor"], depth, max_urls)
     if depth > 0:
         edges = cut_lineage(edges, "edges")
     frontier = seeds.select("seed").distinct().withColumns({
@@ -52,7 +63,7 @@ def site_map(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_urls: int =
         new = _children(frontier, edges, "seed", anchor=True)
         if found is not None:
             new = new.join(found.select("seed", "url"), ["seed", "url"], "left_anti")
-        new = _first_n(new, "seed", ["key"], max_urls).withColumn("level", F.lit(level + 1))
+        new = first_per_group(new, ["seed"], ["key"], max_urls).withColumn("level", F.lit(level + 1))
         if level < depth:
             new = cut_lineage(new, "map-level")
             if new.isEmpty():
@@ -75,8 +86,10 @@ def crawl(edges: DataFrame, captures: DataFrame, seeds: DataFrame, depth: int =
     """
     captured = captures.select("url").distinct()
     if depth > 0:
-        edges = cut_lineage(edges.select("src", "pos", "dst"), "edges")
         captured = cut_lineage(captured, "captured")
+        # Targets without a capture are never counted or expanded.
+        reachable = edges.join(captured.withColumnRenamed("url", "dst"), "dst", "left_semi")
+        edges = cut_lineage(trim_edges(reachable, ["src", "pos", "dst"], depth, max_pages), "edges")
     start = F.array(F.col("ordinal").cast("long"))
     frontier = seeds.select("crawl_id", "url", start.alias("key")).groupBy("crawl_id", "url").agg(
         F.min("key").alias("key"))
@@ -87,7 +100,7 @@ def crawl(edges: DataFrame, captures: DataFrame, seeds: DataFrame, depth: int =
             if frontier.isEmpty():
                 break
         hit = frontier.join(captured, "url", "left_semi").select("crawl_id", "url", "key")
-        hit = _first_n(hit, "crawl_id", ["key"], max_pages).withColumn("level", F.lit(level))
+        hit = first_per_group(hit, ["crawl_id"], ["key"], max_pages).withColumn("level", F.lit(level))
         if level < depth:
             hit = cut_lineage(hit, "crawl-level")
         found = hit if found is None else found.unionByName(hit)

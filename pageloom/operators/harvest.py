@@ -13,6 +13,7 @@ from pageloom.functions.url import (
 )
 from pageloom.operators.links import filter_safe
 from pageloom.operators.rank import relevance
+from pageloom.operators.sets import first_per_group, ordered_distinct
 
 # Hidden-service addresses in text; the second form keeps quotes.
 ONION_URL = r"""https?://[a-z2-7]{10,56}\.onion[^\s"<>']*"""
@@ -45,19 +46,6 @@ def harvest(captures: DataFrame, pattern: str = ONION_URL, limit: int = 20,
     return first_per_group(unique, [key], ["pos"], limit)
 
 
-def ordered_distinct(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First occurrence of each key; reduced before the shuffle, so hot keys are cheap."""
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
-
-
-def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """First n rows of each group, cut per task before the shuffle."""
-    by = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(by)).filter(F.col("_rn") <= n).drop("_rn")
-
-
 def search_all(captures: DataFrame, sources: DataFrame, pattern: str, limit: int,
                trusted: Sequence[str] = ()) -> DataFrame:
     """Union over search sources: ``(url, source_ordinal, capture_id, pos)``.
@@ -113,14 +101,6 @@ def seed_union(origins: Sequence[tuple[str, DataFrame, Sequence[str]]]) -> DataF
     return ordered_distinct(union, ["url"], ["origin_no", "order"])
 
 
-def fallback_to(primary: DataFrame, other: DataFrame) -> DataFrame:
-    """The primary rows, or the other rows when there are no primary rows."""
-    some = primary.limit(1).select(F.lit(1).alias("_some"))
-    flagged = other.withColumn("_one", F.lit(1)).join(
-        some, F.col("_one") == F.col("_some"), "left_anti").drop("_one")
-    return primary.unionByName(flagged.select(*primary.columns))
-
-
 def queries_on_sources(queries: Sequence[str], sources: DataFrame, build: Column) -> DataFrame:
     """Every query on every source: ``(source, query_no, query, search_address)``."""
     listed = F.array(*[F.lit(q) for q in queries])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pageloom.functions.text import sql_text, words
+from pageloom.operators.sets import fallback_to
 
 K1, B = 1.2, 0.75
 
@@ -123,5 +124,4 @@ def expand_query(documents: DataFrame, goal: str, n: int = 6, feedback: int = 10
         F.concat(F.lit(goal + " "), F.col("term")).alias("query"))
     bare = documents.sparkSession.range(1).select(
         F.lit(1).cast("long").alias("query_no"), F.lit(goal).alias("query"))
-    from pageloom.operators.harvest import fallback_to
     return fallback_to(numbered, bare)
