@@ -75,8 +75,12 @@ def has_invisible(text: Column) -> Column:
 
 
 def round_to_int(value: Column) -> Column:
-    """Half-even rounding to INT, as a SQL ``::INTEGER`` cast does in the store."""
-    return F.bround(value, 0).cast("int")
+    """Half-even rounding to INT, as a SQL ``::INTEGER`` cast does in the store.
+
+    Noise of interpolation far below the unit is removed first, so 167.5 does
+    not depend on the order of floating-point operations.
+    """
+    return F.bround(F.round(value, 6), 0).cast("int")
 
 
 # Separators of the entity table below; control characters cannot be references.

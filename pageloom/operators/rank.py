@@ -61,7 +61,9 @@ def relevance(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
 def top_relevant(df: DataFrame, text: str, terms: Sequence[str], n: int,
                  order: Sequence[str]) -> DataFrame:
     """The n most relevant rows; rows without any term follow in their own order."""
-    return relevance(df, text, terms).orderBy(F.desc("score"), *order).limit(n)
+    scored = relevance(df, text, terms)
+    # Rounded, so that equal scores tie whatever order their terms were added in.
+    return scored.orderBy(F.desc(F.round("score", 9)), *order).limit(n)
 
 
 def candidate_window(df: DataFrame, text: str, order: Sequence[str], max_items: int = 80,

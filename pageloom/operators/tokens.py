@@ -69,7 +69,8 @@ class Cleaning:
     def stripped(self) -> tuple[str, ...]:
         if self.mode == "sanitize_first":
             return ACTIVE
-        return tuple(dict.fromkeys(ACTIVE + ALWAYS_STRIPPED))
+        # A title belongs to the head, also where the head's own tags are left out.
+        return tuple(dict.fromkeys((*ACTIVE, *ALWAYS_STRIPPED, "title")))
 
     @property
     def selects_main(self) -> bool:

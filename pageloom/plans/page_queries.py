@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions.html import html_lang, title_text, without_raw_text
-from pageloom.functions.text import has_invisible
+from pageloom.functions.text import has_invisible, round_to_int
 from pageloom.functions.url import (
     excludes_self, hostname, is_noise_url, netloc, safe_url, same_host, url_join,
 )
@@ -21,7 +21,7 @@ from pageloom.operators.links import (
     external_urls, in_scope, link_edges, page_links, short_anchor_items, with_host_address,
 )
 from pageloom.operators.telemetry import (
-    domain_counts, page_facts, result_report, token_similarity,
+    domain_counts, interpolated, page_facts, result_report, token_similarity,
 )
 from pageloom.operators.triage import (
     PAGE_TYPES, STOP_WORDS, TYPE_PATTERNS, VOTE_CAP, checked_triage, identify_language, triage,
@@ -42,7 +42,7 @@ def _long(*names: str) -> list:
 
 @query("host_page_summary", f"""
     SELECT host, count(*) AS pages, count(title) AS titled, sum(links)::BIGINT AS links,
-      avg(chars)::INTEGER AS avg_chars, quantile_cont(chars, 0.95)::INTEGER AS p95_chars
+      avg(chars)::INTEGER AS avg_chars, round(quantile_cont(chars, 0.95), 6)::INTEGER AS p95_chars
     FROM (SELECT {sql_netloc('url')} AS host, {SQL_TITLE} AS title, length(html) AS chars,
         len(regexp_extract_all(html, '<a href=')) AS links FROM pages)
     GROUP BY host""")
@@ -54,10 +54,10 @@ def host_page_summary(spark: SparkSession, folder: str) -> DataFrame:
     # One row per host and length, combined before the shuffle.
     counted = rows.groupBy("host", "chars").agg(
         F.count(F.lit(1)).alias("n"), F.count("title").alias("titled"), F.sum("links").alias("links"))
-    return counted.groupBy("host").agg(
+    return interpolated(counted, ["host"], "chars", "n", 0.95).groupBy("host").agg(
         F.sum("n").alias("pages"), F.sum("titled").alias("titled"), F.sum("links").alias("links"),
-        F.bround(F.sum(F.col("chars") * F.col("n")) / F.sum("n"), 0).cast("int").alias("avg_chars"),
-        F.bround(F.expr("percentile(chars, 0.95D, n)"), 0).cast("int").alias("p95_chars"))
+        round_to_int(F.sum(F.col("chars") * F.col("n")) / F.sum("n")).alias("avg_chars"),
+        round_to_int(F.max("_pct")).alias("p95_chars"))
 
 
 @query("page_titles", f"SELECT page_id, {SQL_TITLE} AS title FROM pages")

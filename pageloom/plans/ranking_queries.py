@@ -129,7 +129,7 @@ _FACTS = """facts AS (SELECT user_id::VARCHAR AS run_id, floor(value)::INTEGER A
     json_extract(props, '$.k')::INTEGER AS markdown_chars,
     CASE WHEN event_type = 'error' THEN 'failed' END AS error, event_type = 'signup' AS flagged FROM events)"""
 _RUN = """SELECT run_id, count(*) AS total, sum(CASE WHEN error IS NULL THEN 1 ELSE 0 END)::BIGINT AS success,
-    avg(fetch_ms)::INTEGER AS avg_ms, (percentile_cont(0.95) WITHIN GROUP (ORDER BY fetch_ms))::INTEGER AS p95_ms,
+    avg(fetch_ms)::INTEGER AS avg_ms, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY fetch_ms), 6)::INTEGER AS p95_ms,
     avg(markdown_chars)::INTEGER AS avg_chars, sum(flagged::INTEGER)::BIGINT AS injections FROM facts"""
 
 
@@ -146,7 +146,7 @@ def run_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query("global_summary", f"""
     WITH {_FACTS} SELECT count(DISTINCT run_id) AS runs, count(*) AS pages,
       round(sum(CASE WHEN error IS NULL THEN 1 ELSE 0 END) * 100 / count(*), 6) AS success_pct,
-      avg(fetch_ms)::INTEGER AS avg_ms, (percentile_cont(0.95) WITHIN GROUP (ORDER BY fetch_ms))::INTEGER AS p95_ms,
+      avg(fetch_ms)::INTEGER AS avg_ms, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY fetch_ms), 6)::INTEGER AS p95_ms,
       avg(markdown_chars)::INTEGER AS avg_chars FROM facts""")
 def global_summary_row(spark: SparkSession, folder: str) -> DataFrame:
     return global_summary(event_facts(spark, folder))
@@ -232,7 +232,37 @@ def schema_evolution(spark: SparkSession, folder: str) -> DataFrame:
 # ---- research ----------------------------------------------------------------------------------
 
 
-@query("research_report")
+_TERMS = query_terms(GOAL)
+
+
+@query("research_report", f"""
+    WITH {bm25_sql('documents', 'text', GOAL, 'doc_id, text, toks')},
+    top AS (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10),
+    near AS (SELECT term, count(*) AS tf FROM (SELECT unnest(toks) AS term FROM top)
+      WHERE length(term) > 2 AND term NOT IN ({', '.join(q(t) for t in _TERMS)}) GROUP BY 1),
+    spread AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(toks) AS term FROM scored) GROUP BY 1),
+    best AS (SELECT term FROM near JOIN spread USING (term)
+      ORDER BY round(tf * ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / df), 6) DESC, term LIMIT 6),
+    terms AS (SELECT term FROM best UNION ALL SELECT unnest([{', '.join(q(t) for t in _TERMS)}])),
+    {LINKS}, hop AS (SELECT page_id, dst AS url, min(pos) AS pos, arg_min(substr(text, 1, 40), pos) AS anchor
+      FROM links WHERE {sql_netloc('src')} = {sql_netloc('dst')} GROUP BY 1, 2),
+    mapped AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS ordinal,
+      CASE WHEN anchor <> '' THEN anchor || ' | ' || url ELSE url END AS item FROM hop),
+    uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY page_id, ordinal) AS rn
+      FROM mapped WHERE ordinal <= 100) WHERE rn = 1),
+    capped AS (SELECT *, regexp_extract_all(lower(item), '[\\p{{L}}\\p{{N}}]+') AS words FROM (
+      SELECT page_id, url, ordinal, item, {sql_netloc('url')} AS domain, row_number() OVER (
+        PARTITION BY {sql_netloc('url')} ORDER BY page_id, ordinal) AS dr FROM uniq) WHERE dr <= 5),
+    cs AS (SELECT count(*)::DOUBLE AS cn, avg(len(words))::DOUBLE AS ca FROM capped),
+    hit AS (SELECT item, term, len(list_filter(words, lambda w: w = term)) AS tf, len(words) AS dl
+      FROM capped, terms),
+    idf AS (SELECT term, ln(1.0 + (any_value(cn) - count_if(tf > 0) + 0.5) / (count_if(tf > 0) + 0.5)) AS idf
+      FROM hit, cs GROUP BY term),
+    ranked AS (SELECT item, sum(CASE WHEN tf > 0 THEN idf * tf * 2.2::DOUBLE
+        / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / ca)) ELSE 0.0::DOUBLE END) AS score
+      FROM hit JOIN idf USING (term), cs GROUP BY item)
+    SELECT url, item, domain, round(score, 6) AS score, url IN (SELECT url FROM pages) AS captured
+    FROM capped JOIN ranked USING (item) ORDER BY round(ranked.score, 9) DESC, page_id, ordinal LIMIT 30""")
 def research(spark: SparkSession, folder: str) -> DataFrame:
     """Goal to ranked, diverse URLs: expansion, seeds, site maps, cap, relevance, lookup."""
     queries = [r["query"] for r in expand_query(_docs(spark, folder), GOAL).collect()]
