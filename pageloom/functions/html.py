@@ -40,17 +40,31 @@ def tag_name(token: Column) -> Column:
     return F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][^\s/>]*)", 1))
 
 
-def attr(token: Column, name: str) -> Column:
-    """First value of an attribute with references decoded; NULL when absent."""
-    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
-    pattern = (
-        rf"(?is)^<[a-z][^\s/>]*+(?:[\s/]++(?!{name}[\s=])[^\s=/>]++(?:\s*+=\s*+{value})?+)*+"
-        rf"[\s/]++{name}\s*+=\s*+({value})"
+def attributes_sql(token: str) -> str:
+    """SQL for ``array<struct<name, value>>`` of a start tag, values decoded.
+
+    Attributes are matched one after another, so text inside a quoted value is
+    never taken for an attribute. Attributes without a value are left out.
+    """
+    match = (r"r'[^\s=/>\x22\x27<]+\s*=\s*"
+             r"(?:\x22[^\x22]*\x22|\x27[^\x27]*\x27|[^\s>\x22\x27][^\s>]*)'")
+    value = (r"regexp_replace(regexp_extract(a, r'(?s)^[^=]*=\s*(.*)$', 1), "
+             r"r'^[\x22\x27]|[\x22\x27]$', '')")
+    return (
+        f"transform(regexp_extract_all({token}, {match}, 0), a -> named_struct("
+        r"'name', lower(regexp_extract(a, r'^([^\s=]+)', 1)), "
+        f"'value', get(transform(array({value}), v -> {decode_sql('v')}), 0)))"
     )
-    return let(
-        F.regexp_extract(token, pattern, 1),
-        "r -> CASE WHEN r != '' THEN get(transform(array(regexp_replace("
-        rf"r, r'^[\x22\x27]|[\x22\x27]$', '')), v -> {decode_sql('v')}), 0) END")
+
+
+def attribute_sql(attributes: str, name: str) -> str:
+    """SQL for the first value of an attribute in :func:`attributes_sql`; NULL when absent."""
+    return f"get(filter({attributes}, a -> a.name = '{name}'), 0).value"
+
+
+def attr(token: Column, name: str) -> Column:
+    """First value of an attribute of a start tag; NULL when absent."""
+    return let(token, f"t -> {attribute_sql(attributes_sql('t'), name)}")
 
 
 def first_tag(html: Column, name: str) -> Column:

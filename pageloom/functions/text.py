@@ -139,14 +139,3 @@ def decode_sql(x: str) -> str:
 def decode_entities(text: Column) -> Column:
     """Decode character references once (``&amp;lt;`` gives ``&lt;``)."""
     return let(text, f"t -> {decode_sql('t')}")
-
-
-def escape_text(text: Column) -> Column:
-    """Escape the three characters that cannot stand in HTML text."""
-    out = F.replace(text, F.lit("&"), F.lit("&amp;"))
-    out = F.replace(out, F.lit("<"), F.lit("&lt;"))
-    return F.replace(out, F.lit(">"), F.lit("&gt;"))
-
-
-def escape_attr(text: Column) -> Column:
-    return F.replace(escape_text(text), F.lit('"'), F.lit("&quot;"))

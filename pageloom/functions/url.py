@@ -143,35 +143,22 @@ _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.
 _ROOT = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?"
 
 
-def _fold_dots(path: Column) -> Column:
-    """Remove ``.`` and ``..`` segments from an absolute path."""
-    folded = F.aggregate(
-        F.split(path, "/"),
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
-        .otherwise(F.array_append(acc, s)),
-        lambda acc: F.array_join(acc, "/"),
-    )
-    tail = F.when(F.rlike(path, F.lit(r"(^|/)\.\.?$")), F.lit("/")).otherwise(F.lit(""))
-    return F.regexp_replace(F.concat(folded, tail), "^(?!/)", "/")
-
-
-def _clean_path(path: Column) -> Column:
-    return F.when(F.rlike(path, F.lit(r"(^|/)\.\.?(/|$)")), _fold_dots(path)).otherwise(path)
-
-
-def _merge(p: Column) -> Column:
-    """Reference parts laid over base parts."""
-    directory = F.regexp_replace(p["base_path"], r"[^/]*$", "")
-    relative = F.regexp_replace(
-        F.concat(F.when(directory == "", F.lit("/")).otherwise(directory), p["path"]),
-        r"/{2,}", "/")
-    merged = F.when(F.startswith(p["path"], F.lit("/")), p["path"]).otherwise(relative)
-    query = F.when(p["query"] != "", p["query"]).otherwise(p["base_query"])
-    return F.when(
-        p["path"] == "", F.concat(p["root"], p["base_path"], query, p["fragment"])
-    ).otherwise(F.concat(p["root"], let(merged, _clean_path), p["query"], p["fragment"]))
+# Remove "." and ".." segments from the absolute path ``p``.
+_FOLD_DOTS = r"""CASE WHEN NOT p RLIKE r'(^|/)\.\.?(/|$)' THEN p ELSE regexp_replace(concat(
+    aggregate(split(p, '/'), CAST(array() AS ARRAY<STRING>), (acc, s) -> CASE
+        WHEN s = '.' THEN acc
+        WHEN s = '..' THEN if(size(acc) > 1, slice(acc, 1, size(acc) - 1), acc)
+        ELSE array_append(acc, s) END, acc -> array_join(acc, '/')),
+    if(p RLIKE r'(^|/)\.\.?$', '/', '')), r'^(?!/)', '/') END"""
+
+# Reference parts laid over base parts (struct ``u``).
+_MERGE = rf"""u -> CASE
+    WHEN u.path = '' THEN concat(u.root, u.base_path, if(u.query != '', u.query, u.base_query), u.fragment)
+    ELSE concat(u.root, get(transform(array(CASE
+        WHEN startswith(u.path, '/') THEN u.path
+        ELSE regexp_replace(concat(
+            coalesce(nullif(regexp_replace(u.base_path, r'[^/]*$', ''), ''), '/'), u.path), r'/{{2,}}', '/')
+        END), p -> {_FOLD_DOTS}), 0), u.query, u.fragment) END"""
 
 
 def url_join(base: Column, ref: Column) -> Column:
@@ -195,7 +182,7 @@ def url_join(base: Column, ref: Column) -> Column:
         .when(ref_scheme != "", F.when(same_scheme, lowered).otherwise(ref))
         .when(F.startswith(ref, F.lit("//")),
               F.concat(F.regexp_extract(base, SCHEME, 0), ref))
-        .otherwise(let(parts, _merge))
+        .otherwise(let(parts, _MERGE))
     )
 
 

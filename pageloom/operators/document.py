@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.html import attr, first_tag, without_raw_text
+from pageloom.functions.html import attr, attribute_sql, first_tag, without_raw_text
 from pageloom.functions.text import (
-    collapse_space, decode_entities, escape_attr, let, null_if_empty, pystrip,
+    collapse_space, decode_entities, let, null_if_empty, pystrip,
 )
 from pageloom.functions.url import netloc, url_join
 from pageloom.operators.markdown import add_context, finish, fragment
@@ -53,41 +53,36 @@ def last_srcset_url(srcset: Column) -> Column:
 
 def _token_columns(images: bool) -> dict[str, Column]:
     """Link and image addresses of the current token, absolute."""
-    base = F.col("_base")
-    is_a = (F.col("kind") == "open") & (F.col("tag") == "a")
-    href = let(start_attr("href"), lambda h: _allowed(h))
-    columns = {"href": F.when(is_a, let(href, lambda h: F.when(h.isNotNull(), url_join(base, h))))}
-    if not images:
-        none = F.lit(None).cast("string")
-        return {**columns, "src": none, "alt": none}
-    is_img = (F.col("kind") == "void") & (F.col("tag") == "img")
-    src = F.coalesce(let(start_attr("srcset"), last_srcset_url), start_attr("src"))
-    src = let(src, lambda s: _allowed(null_if_empty(s), ("data",)))
-    columns["src"] = F.when(is_img, let(src, lambda s: F.when(s.isNotNull(), url_join(base, s))))
-    columns["alt"] = F.when(is_img, start_attr("alt"))
-    return columns
+    raw = F.when(F.expr("kind = 'open' AND tag = 'a'"),
+                 let(start_attr("href"), lambda h: _allowed(h)))
+    if images:
+        src = F.coalesce(let(start_attr("srcset"), last_srcset_url), start_attr("src"))
+        raw = raw.when(F.expr("kind = 'void' AND tag = 'img'"),
+                       let(src, lambda s: _allowed(F.when(s != "", s), ("data",))))
+    address = let(raw, lambda a: F.when(a.isNotNull(), url_join(F.col("_base"), a)))
+    return {"address": address, "alt": F.expr(f"CASE WHEN tag = 'img' THEN {attribute_sql('_attrs', 'alt')} END")}
+
+
+def _quoted(column: str) -> str:
+    """SQL: text escaped for a double-quoted attribute."""
+    out = column
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = f"replace({out}, '{plain}', '{escaped}')"
+    return out
 
 
 def html_fragment() -> Column:
     """Cleaned HTML of the current token: allowed tags with allowed attributes."""
-    name = F.col("tag")
-    attributes = (
-        F.when(name == "a", F.concat(F.lit(' href="'), escape_attr(F.col("href")), F.lit('"')))
-        .when(name == "img", F.concat(
-            F.lit(' src="'), escape_attr(F.col("src")), F.lit('"'),
-            F.coalesce(F.concat(F.lit(' alt="'), escape_attr(F.col("alt")), F.lit('"')), F.lit(""))))
-    )
-    start = F.concat(F.lit("<"), name, F.coalesce(attributes, F.lit("")), F.lit(">"))
-    allowed = name.isin(*ALLOWED_TAGS) | (name == "img") & F.col("src").isNotNull()
-    return (
-        F.when(~F.col("keep"), F.lit(""))
-        .when(F.col("kind") == "text",
-              F.when(F.col("tok") == "<", F.lit("&lt;")).otherwise(F.col("tok")))
-        .when(~F.coalesce(allowed, F.lit(False)), F.lit(""))
-        .when(F.col("kind").isin("open", "void"), start)
-        .when(F.col("kind") == "close", F.concat(F.lit("</"), name, F.lit(">")))
-        .otherwise(F.lit(""))
-    )
+    tags = ", ".join(f"'{t}'" for t in ALLOWED_TAGS)
+    return F.expr(f"""CASE
+        WHEN NOT keep THEN ''
+        WHEN kind = 'text' THEN if(tok = '<', '&lt;', tok)
+        WHEN NOT coalesce(tag IN ({tags}) OR tag = 'img' AND src IS NOT NULL, false) THEN ''
+        WHEN kind = 'close' THEN concat('</', tag, '>')
+        WHEN tag = 'a' AND href IS NOT NULL THEN concat('<a href="', {_quoted('href')}, '">')
+        WHEN tag = 'img' THEN concat('<img src="', {_quoted('src')}, '"',
+            coalesce(concat(' alt="', {_quoted('alt')}, '"'), ''), '>')
+        ELSE concat('<', tag, '>') END""")
 
 
 def _ordered(condition: Column, value: Column) -> Column:
@@ -118,7 +113,9 @@ def extract_documents(pages: DataFrame, mode: str = "declared", only_main: bool
     base = base_url(F.col("_source"), F.col("url")) if declared else F.col("url")
     tokens = cleaned_tokens(staged, cleaning, key, carry=carry,
                             repeat={"_base": base}, columns=_token_columns(images=declared))
-    tokens = tokens.filter(F.col("keep") | (F.col("pos") == 0))
+    tokens = tokens.filter("keep OR pos = 0").selectExpr(
+        "*", "CASE WHEN tag = 'a' THEN address END AS href",
+        "CASE WHEN tag = 'img' THEN address END AS src", "opened_address AS opened_href")
     tokens = add_context(tokens, key).withColumns({
         "_md": fragment(), "_html": html_fragment(),
     })

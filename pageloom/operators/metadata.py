@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.html import all_tags, attr, html_lang, title_text, without_raw_text
-from pageloom.functions.text import let, null_if_empty, pystrip, sql_text
+from pageloom.functions.html import (
+    all_tags, attribute_sql, attributes_sql, html_lang, title_text, without_raw_text,
+)
+from pageloom.functions.text import let, pystrip, sql_text
 from pageloom.functions.url import url_join
 
 # Meta names and the fields they fill; aliases share a field.
@@ -51,13 +53,18 @@ METADATA_FIELDS = (
 
 def meta_entries(html: Column) -> Column:
     """Named, non-empty meta tags as ``array<struct<name, content>>``, in order."""
-    entries = F.transform(
-        all_tags(html, "meta"),
-        lambda t: F.struct(
-            F.lower(F.coalesce(null_if_empty(attr(t, "name")), null_if_empty(attr(t, "property")),
-                               null_if_empty(attr(t, "itemprop")))).alias("name"),
-            pystrip(attr(t, "content")).alias("content")))
-    return F.filter(entries, lambda e: (e["content"] != "") & (e["name"] != ""))
+    def first(name: str) -> str:
+        return f"nullif({attribute_sql('m', name)}, '')"
+
+    parsed = let(all_tags(html, "meta"), f"tags -> transform(tags, t -> {attributes_sql('t')})")
+    entries = let(
+        parsed,
+        "ms -> transform(ms, m -> named_struct('name', lower(coalesce("
+        f"{first('name')}, {first('property')}, {first('itemprop')})), "
+        f"'content', {attribute_sql('m', 'content')}))")
+    stripped = F.transform(entries, lambda e: F.struct(e["name"].alias("name"),
+                                                       pystrip(e["content"]).alias("content")))
+    return F.filter(stripped, lambda e: (e["content"] != "") & (e["name"] != ""))
 
 
 def _names(names: Sequence[str]) -> str:
@@ -83,10 +90,10 @@ def extra_map(entries: str = "_entries") -> Column:
 
 def favicon(html: Column, page_url: Column) -> Column:
     """Address of the first ``link`` whose relation mentions an icon."""
-    icons = F.filter(all_tags(html, "link"),
-                     lambda t: F.contains(F.coalesce(attr(t, "rel"), F.lit("")), F.lit("icon")))
-    href = null_if_empty(attr(F.get(icons, F.lit(0)), "href"))
-    return F.when(href.isNotNull(), url_join(page_url, href))
+    parsed = let(all_tags(html, "link"), f"tags -> transform(tags, t -> {attributes_sql('t')})")
+    href = let(parsed, "ls -> " + attribute_sql(
+        f"get(filter(ls, l -> contains({attribute_sql('l', 'rel')}, 'icon')), 0)", "href"))
+    return let(href, lambda h: F.when(h != "", url_join(page_url, h)))
 
 
 def metadata_struct(html: Column, page_url: Column, entries: str = "_entries",

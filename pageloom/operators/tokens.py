@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pageloom.functions.html import VOID, attr, split_tokens, tag_name, without_raw_text
+from pageloom.functions.html import (
+    VOID, attribute_sql, attributes_sql, split_tokens, tag_name, without_raw_text,
+)
 
 # Elements dropped with their content because they are active.
 ACTIVE = ("script", "style", "iframe", "form", "input", "button")
@@ -132,40 +134,50 @@ def tokenize(pages: DataFrame, key: str = "page_id",
     return rows.withColumn("kind", kind)
 
 
+def with_attributes(tokens: DataFrame) -> DataFrame:
+    """Add ``_attrs``: attributes of start tags, parsed once per tag that has any."""
+    return tokens.withColumn("_attrs", F.expr(
+        f"CASE WHEN kind IN ('open', 'void') AND contains(tok, '=') THEN {attributes_sql('tok')} END"))
+
+
 def start_attr(name: str) -> Column:
-    """Attribute of the current token; only start tags with a value are parsed."""
-    starts = F.col("kind").isin("open", "void") & F.contains(F.col("tok"), F.lit("="))
-    return F.when(starts, attr(F.col("tok"), name))
+    """Attribute of the current token from :func:`with_attributes`."""
+    return F.expr(attribute_sql("_attrs", name))
 
 
-def _overlaps(classes: Column, values: Sequence[str]) -> Column:
-    found = F.arrays_overlap(classes, F.array(*[F.lit(v) for v in values]))
-    return F.coalesce(found, F.lit(False))
+def _listed(values: Sequence[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
 
 
-def _in(col: Column, values: Sequence[str]) -> Column:
-    return F.coalesce(col.isin(*values), F.lit(False))
+def _selected(tags: Sequence[str], classes: Sequence[str], ids: Sequence[str],
+              roles: Sequence[str] = ()) -> str:
+    """SQL: the current start tag matches one of the simple selectors."""
+    tests = [
+        f"tag IN ({_listed(tags)})",
+        f"coalesce(arrays_overlap(_class, array({_listed(classes)})), false)",
+        f"coalesce(_id IN ({_listed(ids)}), false)",
+    ]
+    if roles:
+        tests.append(f"coalesce(_role IN ({_listed(roles)}), false)")
+    return f"kind IN ('open', 'void') AND ({' OR '.join(tests)})"
 
 
 def mark_selectors(tokens: DataFrame, cleaning: Cleaning) -> DataFrame:
     """Add flags ``strip`` (always dropped), ``noise`` and ``force`` to start tags."""
-    starts = F.col("kind").isin("open", "void")
-    out = tokens.withColumn("strip", starts & _in(F.col("tag"), cleaning.stripped))
+    strip = f"kind IN ('open', 'void') AND tag IN ({_listed(cleaning.stripped)}) AS strip"
     if not cleaning.selects_main:
-        return out.withColumns({"noise": F.lit(False), "force": F.lit(False)})
-    out = out.withColumns({
-        "_class": F.split(F.trim(start_attr("class")), r"[ \t\r\n\f]+"),
-        "_id": start_attr("id"),
-        "_role": start_attr("role"),
-    })
-    return out.withColumns({
-        "noise": starts & (
-            _in(F.col("tag"), NOISE_TAGS) | _overlaps(F.col("_class"), NOISE_CLASSES)
-            | _in(F.col("_id"), NOISE_IDS)),
-        "force": starts & (
-            _in(F.col("tag"), FORCE_TAGS) | _overlaps(F.col("_class"), FORCE_CLASSES)
-            | _in(F.col("_id"), FORCE_IDS) | _in(F.col("_role"), FORCE_ROLES)),
-    }).drop("_class", "_id", "_role")
+        return tokens.selectExpr("*", strip, "false AS noise", "false AS force")
+    named = tokens.selectExpr(
+        "*", strip,
+        rf"split(trim({attribute_sql('_attrs', 'class')}), r'[ \t\r\n\f]+') AS _class",
+        f"{attribute_sql('_attrs', 'id')} AS _id",
+        f"{attribute_sql('_attrs', 'role')} AS _role",
+    )
+    return named.selectExpr(
+        "*",
+        f"{_selected(NOISE_TAGS, NOISE_CLASSES, NOISE_IDS)} AS noise",
+        f"{_selected(FORCE_TAGS, FORCE_CLASSES, FORCE_IDS, FORCE_ROLES)} AS force",
+    ).drop("_class", "_id", "_role")
 
 
 def match_blocks(tokens: DataFrame, key: str = "page_id",
@@ -194,7 +206,7 @@ def match_blocks(tokens: DataFrame, key: str = "page_id",
         by_tag.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     out = out.withColumn(
         "_level",
-        F.when(_in(F.col("tag"), FLAT) & (is_open | is_close), F.lit(0))
+        F.when(F.coalesce(F.col("tag").isin(*FLAT), F.lit(False)) & (is_open | is_close), F.lit(0))
         .when(is_open, F.col("_after"))
         .when(is_close, F.col("_after") + 1)
         .otherwise(F.lit(-1_000_000)),
@@ -271,9 +283,9 @@ def cleaned_tokens(pages: DataFrame, cleaning: Cleaning = Cleaning(), key: str =
     tokens = tokenize(pages, key, carry, repeat)
     if cleaning.mode == "sanitize_first":
         tokens = tokens.withColumn("has_body", F.lit(False))
-    tokens = mark_selectors(tokens, cleaning)
+    tokens = mark_selectors(with_attributes(tokens), cleaning)
     if columns:
         tokens = tokens.withColumns(columns)
-    tokens = tokens.drop(*(repeat or {}))
+    tokens = tokens.drop("_attrs", *(repeat or {}))
     tokens = match_blocks(tokens, key, lag_columns=list(columns or {}))
     return keep_content(tokens, key)
