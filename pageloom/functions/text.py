@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 from html.entities import name2codepoint
 
@@ -64,6 +64,21 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def listed_words(tokens: str, listed: Sequence[str]) -> Column:
+    """The tokens (a column by name) that are on a list.
+
+    Counting several words or groups of words starts from this short array, so
+    the full array is read once.
+    """
+    names = ", ".join(sql_text(w) for w in listed)
+    return F.expr(f"filter({tokens}, w -> w IN ({names}))")
+
+
+def listed_count(hits: str, listed: Sequence[str]) -> Column:
+    """How many of the tokens are on a list."""
+    return F.size(listed_words(hits, listed))
+
+
 def space_tokens(text: Column) -> Column:
     """Tokens between white space, in order (Python ``split()``)."""
     return F.regexp_extract_all(text, F.lit(f"[^{PY_SPACE}]+"), F.lit(0))

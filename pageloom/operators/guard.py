@@ -19,22 +19,36 @@ WRAP_OPEN, WRAP_CLOSE = "<untrusted_source>\n", "\n</untrusted_source>"
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern over lower-cased text and how strongly it suggests injection."""
+    """A pattern over lower-cased text and how strongly it suggests injection.
+
+    A text can only match when it contains one of ``needs``; this plain search
+    keeps the pattern away from nearly all text.
+    """
 
     pattern: str
     weight: float
+    needs: tuple[str, ...]
+
+    def matches(self, text: Column) -> Column:
+        possible = F.lit(False)
+        for word in self.needs:
+            possible = possible | F.contains(text, F.lit(word))
+        return possible & F.rlike(text, F.lit(self.pattern))
 
 
 RULES = (
-    Rule(r"\b(ignore|disregard|forget)\b.{0,60}\b(previous|prior|before|earlier|above)\b", 0.85),
-    Rule(r"\bnew instructions\b", 0.6),
-    Rule(r"\b(reveal|print|output|show|repeat)\b.{0,30}\b(instructions|system (prompt|message))", 0.7),
-    Rule(r"\b(developer|debug|god|jailbreak) mode\b", 0.6),
-    Rule(r"\b(no|without) (any )?(restrictions|limits|rules)\b", 0.6),
-    Rule(r"\bunrestricted\b", 0.6),
-    Rule(r"\byou are now\b", 0.4),
-    Rule(r"\bact as\b", 0.4),
-    Rule(r"\bfor this task only\b", 0.4),
+    Rule(r"\b(ignore|disregard|forget)\b.{0,60}\b(previous|prior|before|earlier|above)\b", 0.85,
+         ("ignore", "disregard", "forget")),
+    Rule(r"\bnew instructions\b", 0.6, ("new instructions",)),
+    Rule(r"\b(reveal|print|output|show|repeat)\b.{0,30}\b(instructions|system (prompt|message))", 0.7,
+         ("instructions", "system prompt", "system message")),
+    Rule(r"\b(developer|debug|god|jailbreak) mode\b", 0.6, (" mode",)),
+    Rule(r"\b(no|without) (any )?(restrictions|limits|rules)\b", 0.6,
+         ("restrictions", "limits", "rules")),
+    Rule(r"\bunrestricted\b", 0.6, ("unrestricted",)),
+    Rule(r"\byou are now\b", 0.4, ("you are now",)),
+    Rule(r"\bact as\b", 0.4, ("act as",)),
+    Rule(r"\bfor this task only\b", 0.4, ("for this task only",)),
 )
 
 
@@ -50,7 +64,7 @@ def injection_score(text: Column, rules: tuple[Rule, ...] = RULES,
         seen = F.substring(seen, 1, max_chars)
     clear = F.lit(1.0)
     for rule in rules:
-        clear = clear * F.when(F.rlike(seen, F.lit(rule.pattern)), 1.0 - rule.weight).otherwise(1.0)
+        clear = clear * F.when(rule.matches(seen), 1.0 - rule.weight).otherwise(1.0)
     return F.lit(1.0) - clear
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pageloom.functions.text import sql_text, words
+from pageloom.functions.text import listed_words, sql_text, words
 from pageloom.operators.sets import fallback_to
+from pageloom.session import cut_lineage
 
 K1, B = 1.2, 0.75
 
@@ -29,11 +30,6 @@ def query_terms(goal: str) -> list[str]:
     return out
 
 
-def _term_counts(terms: Sequence[str]) -> Column:
-    listed = ", ".join(sql_text(t) for t in terms)
-    return F.expr(f"transform(array({listed}), q -> size(filter(_words, w -> w = q)))")
-
-
 def relevance(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
     """Add a BM25 ``score`` of the text for the terms; no shuffle of rows.
 
@@ -42,8 +38,12 @@ def relevance(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
     """
     if not terms:
         return df.withColumn("score", F.lit(0.0))
+    listed = ", ".join(sql_text(t) for t in terms)
     counted = df.withColumn("_words", words(F.coalesce(F.col(text), F.lit("")))).withColumns({
-        "_tf": _term_counts(terms), "_len": F.size("_words").cast("double")}).drop("_words")
+        "_hits": listed_words("_words", terms), "_len": F.size("_words").cast("double")})
+    counted = counted.withColumn(
+        "_tf", F.expr(f"transform(array({listed}), q -> size(filter(_hits, w -> w = q)))"),
+    ).drop("_words", "_hits")
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"),
         *[F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
@@ -112,7 +112,8 @@ def expand_query(documents: DataFrame, goal: str, n: int = 6, feedback: int = 10
     top = scored.orderBy(F.desc("score"), key).limit(feedback).select(key, text)
     near = top.select(F.explode(words(F.col(text))).alias("term"))
     near = near.filter((F.length("term") > 2) & ~F.col("term").isin(*terms or [""]))
-    near = near.groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    # Terms of the feedback documents only: written once, because it is used twice below.
+    near = cut_lineage(near.groupBy("term").agg(F.count(F.lit(1)).alias("tf")), "near-terms")
     total = documents.count()
     spread = documents.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
     spread = spread.join(near.select("term"), "term", "left_semi").groupBy("term").agg(

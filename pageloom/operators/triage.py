@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import sql_text, words
+from pageloom.functions.text import listed_count, listed_words, words
 from pageloom.operators.document import is_thin
 
 # Page types, in the order that breaks ties.
@@ -56,21 +56,18 @@ def page_type(votes: dict[str, Column]) -> Column:
     return choice
 
 
-def _count(tokens: Column, stop: tuple[str, ...]) -> Column:
-    listed = ", ".join(sql_text(w) for w in stop)
-    return F.size(F.call_function("filter", tokens, F.expr(f"w -> w IN ({listed})")))
-
-
 def identify_language(df: DataFrame, text: str) -> DataFrame:
     """Add ``language`` from the whole text."""
-    listed = df.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
     counts = {code: f"_n_{code}" for code in STOP_WORDS}
-    listed = listed.withColumns({counts[c]: _count(F.col("_words"), s) for c, s in STOP_WORDS.items()})
+    every = [w for stop in STOP_WORDS.values() for w in stop]
+    listed = df.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
+    listed = listed.withColumn("_hits", listed_words("_words", every)).withColumns({
+        counts[code]: listed_count("_hits", stop) for code, stop in STOP_WORDS.items()})
     best = F.greatest(*[F.col(c) for c in counts.values()])
     choice = F.when(best == 0, F.lit(DEFAULT_LANGUAGE))
     for code, column in counts.items():
         choice = choice.when(F.col(column) == best, F.lit(code))
-    return listed.withColumn("language", choice).drop("_words", *counts.values())
+    return listed.withColumn("language", choice).drop("_words", "_hits", *counts.values())
 
 
 def triage(df: DataFrame, markdown: str = "markdown", title: str = "title") -> DataFrame:
