@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pageloom.functions.text import listed_words, sql_text, words
+from pageloom.functions.text import let, listed_words, sql_text, words
 from pageloom.operators.sets import fallback_to
 from pageloom.session import cut_lineage
 
@@ -39,11 +39,11 @@ def relevance(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
     if not terms:
         return df.withColumn("score", F.lit(0.0))
     listed = ", ".join(sql_text(t) for t in terms)
-    counted = df.withColumn("_words", words(F.coalesce(F.col(text), F.lit("")))).withColumns({
-        "_hits": listed_words("_words", terms), "_len": F.size("_words").cast("double")})
-    counted = counted.withColumn(
-        "_tf", F.expr(f"transform(array({listed}), q -> size(filter(_hits, w -> w = q)))"),
-    ).drop("_words", "_hits")
+    counted = df.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
+    counts = let(listed_words("_words", terms),
+                 f"hits -> transform(array({listed}), q -> size(filter(hits, w -> w = q)))")
+    counted = counted.withColumns({
+        "_tf": counts, "_len": F.size("_words").cast("double")}).drop("_words")
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"),
         *[F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
@@ -95,7 +95,7 @@ def latest_state(events: DataFrame, group: Sequence[str], time: str, state: Sequ
 
 def repeatable_sample(df: DataFrame, run: str, key: str, n: int = 5) -> DataFrame:
     """n rows per run without replacement; the hash order makes reruns equal."""
-    by = Window.partitionBy(run).orderBy(F.xxhash64(run, key), key)
+    by = Window.partitionBy(run).orderBy(F.md5(F.concat_ws("|", run, key)), key)
     return df.withColumn("_rn", F.row_number().over(by)).filter(F.col("_rn") <= n).drop("_rn")
 
 

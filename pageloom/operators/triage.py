@@ -16,15 +16,20 @@ PAGE_TYPES = ("blog", "blog_index", "forum", "market", "docs", "index", "phishin
 
 DEFAULT_TYPE, DEFAULT_LANGUAGE = "other", "und"
 
-# Word patterns that vote for a page type (matched in lower-cased text).
-TYPE_PATTERNS = {
-    "blog": r"\b(posted|author|article|published|comments?)\b",
-    "blog_index": r"\b(read more|older posts|newer posts|archives|latest posts)\b",
-    "forum": r"\b(threads?|repl(?:y|ies)|forum|members?|topics?)\b",
-    "market": r"\b(price|cart|buy|vendors?|checkout|shipping|listings?)\b",
-    "docs": r"\b(documentation|install|version|api|configuration|status)\b",
-    "index": r"\b(directory|links?|index of|categories|parent directory)\b",
-    "phishing": r"\b(verify your|account suspended|confirm your password|login now)\b",
+# Words and phrases that vote for a page type (in lower-cased text).
+TYPE_WORDS = {
+    "blog": ("posted", "author", "article", "published", "comment", "comments"),
+    "blog_index": ("archives",),
+    "forum": ("thread", "threads", "reply", "replies", "forum", "member", "members", "topic", "topics"),
+    "market": ("price", "cart", "buy", "vendor", "vendors", "checkout", "shipping", "listing", "listings"),
+    "docs": ("documentation", "install", "version", "api", "configuration", "status"),
+    "index": ("directory", "link", "links", "categories"),
+    "phishing": (),
+}
+TYPE_PHRASES = {
+    "blog_index": ("read more", "older posts", "newer posts", "latest posts"),
+    "index": ("index of",),
+    "phishing": ("verify your", "account suspended", "confirm your password", "login now"),
 }
 VOTE_CAP = 10
 
@@ -37,13 +42,21 @@ STOP_WORDS = {
 }
 
 
-def type_votes(text: Column) -> dict[str, Column]:
-    """Votes per page type: matches of its words, each type capped."""
-    low = F.lower(text)
-    return {
-        name: F.least(F.regexp_count(low, F.lit(pattern)), F.lit(VOTE_CAP))
-        for name, pattern in TYPE_PATTERNS.items()
-    }
+def phrase_count(low: Column, phrase: str) -> Column:
+    """How often a phrase occurs in lower-cased text."""
+    lost = F.octet_length(low) - F.octet_length(F.replace(low, F.lit(phrase), F.lit("")))
+    return (lost / len(phrase)).cast("int")
+
+
+def type_votes(low: Column, hits: str) -> dict[str, Column]:
+    """Votes per page type: its words and phrases, each type capped."""
+    votes = {}
+    for name, listed in TYPE_WORDS.items():
+        total = listed_count(hits, listed) if listed else F.lit(0)
+        for phrase in TYPE_PHRASES.get(name, ()):
+            total = total + phrase_count(low, phrase)
+        votes[name] = F.least(total, F.lit(VOTE_CAP))
+    return votes
 
 
 def page_type(votes: dict[str, Column]) -> Column:
@@ -56,30 +69,46 @@ def page_type(votes: dict[str, Column]) -> Column:
     return choice
 
 
-def identify_language(df: DataFrame, text: str) -> DataFrame:
-    """Add ``language`` from the whole text."""
-    counts = {code: f"_n_{code}" for code in STOP_WORDS}
-    every = [w for stop in STOP_WORDS.values() for w in stop]
-    listed = df.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
-    listed = listed.withColumn("_hits", listed_words("_words", every)).withColumns({
-        counts[code]: listed_count("_hits", stop) for code, stop in STOP_WORDS.items()})
+def _language(hits: str) -> dict[str, Column]:
+    return {code: listed_count(hits, stop) for code, stop in STOP_WORDS.items()}
+
+
+def _choose_language(counts: dict[str, str]) -> Column:
+    """Code with the most stop words; alphabetical on ties, ``und`` without any."""
     best = F.greatest(*[F.col(c) for c in counts.values()])
     choice = F.when(best == 0, F.lit(DEFAULT_LANGUAGE))
     for code, column in counts.items():
         choice = choice.when(F.col(column) == best, F.lit(code))
-    return listed.withColumn("language", choice).drop("_words", "_hits", *counts.values())
+    return choice
+
+
+def identify_language(df: DataFrame, text: str) -> DataFrame:
+    """Add ``language`` from the whole text."""
+    every = [w for stop in STOP_WORDS.values() for w in stop]
+    counts = {code: f"_n_{code}" for code in STOP_WORDS}
+    out = df.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
+    out = out.withColumn("_hits", listed_words("_words", every))
+    out = out.withColumns({counts[c]: n for c, n in _language("_hits").items()})
+    return out.withColumn("language", _choose_language(counts)).drop("_words", "_hits", *counts.values())
 
 
 def triage(df: DataFrame, markdown: str = "markdown", title: str = "title") -> DataFrame:
     """Add ``page_type``, ``language`` and ``thin`` from title and whole text."""
     text = F.concat_ws("\n", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(markdown), F.lit("")))
-    staged = df.withColumn("_text", text)
-    names = {name: f"_v_{name}" for name in TYPE_PATTERNS}
-    votes = type_votes(F.col("_text"))
-    staged = staged.withColumns({names[n]: v for n, v in votes.items()})
-    typed = staged.withColumn("page_type", page_type({n: F.col(c) for n, c in names.items()}))
-    typed = identify_language(typed.drop(*names.values()), "_text")
-    return typed.withColumn("thin", is_thin(F.col(markdown))).drop("_text")
+    groups = [*STOP_WORDS.values(), *TYPE_WORDS.values()]
+    every = list(dict.fromkeys(w for listed in groups for w in listed))
+    counts = {code: f"_n_{code}" for code in STOP_WORDS}
+    names = {name: f"_v_{name}" for name in TYPE_WORDS}
+    out = df.withColumn("_low", F.lower(text)).withColumn("_words", words(F.col("_low")))
+    out = out.withColumn("_hits", listed_words("_words", every))
+    out = out.withColumns({
+        **{counts[c]: n for c, n in _language("_hits").items()},
+        **{names[n]: v for n, v in type_votes(F.col("_low"), "_hits").items()}})
+    return out.withColumns({
+        "page_type": page_type({n: F.col(c) for n, c in names.items()}),
+        "language": _choose_language(counts),
+        "thin": is_thin(F.col(markdown)),
+    }).drop("_low", "_words", "_hits", *counts.values(), *names.values())
 
 
 def checked_triage(answer: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions.html import html_lang, title_text, without_raw_text
@@ -13,7 +13,7 @@ from pageloom.functions.url import (
 from pageloom.operators.document import (
     compression_ratio, content_type, extract_documents, is_thin, needs_render, visible_text,
 )
-from pageloom.operators.enrich import capped_input, json_or
+from pageloom.operators.enrich import capped_input, enrich, json_or
 from pageloom.operators.guard import (
     RULES, THRESHOLD, detector_accuracy, guard, has_injection, injection_score, wrap,
 )
@@ -24,7 +24,7 @@ from pageloom.operators.telemetry import (
     domain_counts, interpolated, page_facts, result_report, token_similarity,
 )
 from pageloom.operators.triage import (
-    PAGE_TYPES, STOP_WORDS, TYPE_PATTERNS, VOTE_CAP, checked_triage, identify_language, triage,
+    PAGE_TYPES, STOP_WORDS, TYPE_PHRASES, TYPE_WORDS, VOTE_CAP, checked_triage, identify_language, triage,
 )
 from pageloom.plans.registry import (
     LINKS, MARKDOWN, SQL_ARTICLE, SQL_NAV, SQL_SOURCE, SQL_TITLE, TRUSTED, TRUSTED_RE, q, query,
@@ -384,12 +384,16 @@ def guard_accuracy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sql_votes(text: str) -> str:
-    return ", ".join(
-        f"least(len(regexp_extract_all(lower({text}), {q(p)})), {VOTE_CAP}) AS v_{n}"
-        for n, p in TYPE_PATTERNS.items())
+    """Votes from the words ``toks`` and the phrases of the text."""
+    out = []
+    for name, listed in TYPE_WORDS.items():
+        parts = [f"len(list_filter(toks, lambda w: w IN ({', '.join(q(w) for w in listed)})))"] if listed else ["0"]
+        parts += [f"len(string_split(lower({text}), {q(p)})) - 1" for p in TYPE_PHRASES.get(name, ())]
+        out.append(f"least({' + '.join(parts)}, {VOTE_CAP}) AS v_{name}")
+    return ", ".join(out)
 
 
-_VOTES = [f"v_{n}" for n in PAGE_TYPES if n in TYPE_PATTERNS]
+_VOTES = [f"v_{n}" for n in PAGE_TYPES if n in TYPE_WORDS]
 _SQL_TYPE = (f"CASE WHEN greatest({', '.join(_VOTES)}) = 0 THEN 'other' "
              + " ".join(f"WHEN {v} = greatest({', '.join(_VOTES)}) THEN '{v[2:]}'" for v in _VOTES) + " END")
 
@@ -412,8 +416,8 @@ _COUNTS, _LANG = _sql_language("toks")
 @query("page_triage", f"""
     WITH {MARKDOWN}, t AS (SELECT page_id, coalesce({SQL_TITLE}, '') || chr(10) || markdown AS text,
         length(trim(markdown)) < 200 AS thin FROM md),
-    k AS (SELECT *, {_TOKENS.format('text')} AS toks, {_sql_votes('text')} FROM t),
-    c AS (SELECT *, {_COUNTS} FROM k)
+    k AS (SELECT *, {_TOKENS.format('text')} AS toks FROM t),
+    c AS (SELECT *, {_COUNTS}, {_sql_votes('text')} FROM k)
     SELECT page_id, {_SQL_TYPE} AS page_type, {_LANG} AS language, thin FROM c""")
 def page_triage(spark: SparkSession, folder: str) -> DataFrame:
     docs = extract_documents(_pages(spark, folder)).select("page_id", "metadata.title", "markdown")
@@ -421,8 +425,9 @@ def page_triage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("document_triage", f"""
-    WITH k AS (SELECT doc_id, {_sql_votes('text')} FROM documents)
-    SELECT page_type, count(*) AS documents FROM (SELECT {_SQL_TYPE} AS page_type FROM k) GROUP BY 1""")
+    WITH k AS (SELECT text, {_TOKENS.format('text')} AS toks FROM documents),
+    v AS (SELECT {_sql_votes('text')} FROM k)
+    SELECT page_type, count(*) AS documents FROM (SELECT {_SQL_TYPE} AS page_type FROM v) GROUP BY 1""")
 def document_triage(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("text", F.lit("").alias("title"))
     return triage(docs, "text").groupBy("page_type").agg(F.count(F.lit(1)).alias("documents"))
@@ -487,8 +492,8 @@ def json_default(spark: SparkSession, folder: str) -> DataFrame:
 @query("page_facts", f"""
     WITH {MARKDOWN}, t AS (SELECT page_id, url, html, {SQL_TITLE} AS title, markdown,
         coalesce({SQL_TITLE}, '') || chr(10) || markdown AS text FROM md),
-    k AS (SELECT *, {_TOKENS.format('text')} AS toks, {_sql_votes('text')} FROM t),
-    c AS (SELECT *, {_COUNTS} FROM k)
+    k AS (SELECT *, {_TOKENS.format('text')} AS toks FROM t),
+    c AS (SELECT *, {_COUNTS}, {_sql_votes('text')} FROM k)
     SELECT page_id::VARCHAR AS id, {sql_netloc('url')} AS run_id, url, 0 AS status_code,
       length(html)::INTEGER AS html_bytes, length(markdown)::INTEGER AS markdown_chars,
       0 AS link_count, 0 AS image_count, title, NULL::VARCHAR AS error,
@@ -577,3 +582,115 @@ def extractor_sizes(spark: SparkSession, folder: str) -> DataFrame:
     SELECT count(DISTINCT {sql_netloc('url')}) AS domains, count(*) AS urls FROM pages""")
 def domain_count_row(spark: SparkSession, folder: str) -> DataFrame:
     return domain_counts(_pages(spark, folder))
+
+
+# ---- constructs the captured pages lack, written into them or built from other tables ----------
+
+_META = (
+    '<meta name="Description" content="first"><meta name="description" content=" {lang} &amp; more ">'
+    '<meta property="og:title" content="og {id}"><meta name="twitter:description" content="tw">'
+    '<meta name="dcterms.created" content="2020"><meta name="dc.date" content="y{id}">'
+    '<meta itemprop="article:tag" content="a"><meta name="x" content="1"><meta name="y" content=" ">'
+    '<meta name="x" content="{id}"><meta content="none"><base href="/base/">'
+    '<link rel="stylesheet" href="s.css"><link rel="shortcut icon" href="icons/{id}.png">'
+)
+_LANG_SQL = "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)"
+
+
+def _filled(template: str) -> Column:
+    out = F.lit(template)
+    for name, value in (("{lang}", html_lang(F.col("html"))), ("{id}", F.col("page_id").cast("string"))):
+        out = F.replace(out, F.lit(name), value)
+    return out
+
+
+def _page_dir(url: str) -> str:
+    return f"{sql_root(url)} || regexp_replace(regexp_extract({url}, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '')"
+
+
+@query("page_metadata", f"""
+    SELECT page_id, {SQL_TITLE} AS title, {_LANG_SQL} || ' & more' AS description,
+      'og ' || page_id AS og_title, 'y' || page_id AS dc_date, 'a' AS article_tag,
+      NULL::VARCHAR AS keywords, '1,' || page_id AS extra_x,
+      {_page_dir('url')} || 'icons/' || page_id || '.png' AS favicon FROM pages""")
+def page_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    marker = '<meta charset="utf-8">'
+    pages = _pages(spark, folder)
+    pages = pages.withColumn("html", F.replace("html", F.lit(marker), _filled(marker + _META)))
+    m = extract_documents(pages).select("page_id", "metadata.*")
+    return m.select("page_id", "title", "description", "og_title", "dc_date", "article_tag", "keywords",
+                    F.array_join(m["extra"]["x"], ",").alias("extra_x"), "favicon")
+
+
+_IMAGES = ('<p><img src="a.png" alt="pic {id}" srcset="s.png 1x, l{id}.png 2x">'
+           '<img src="data:image/png;base64,AA"><img src="/r.png"></p>')
+
+
+@query("page_images", f"""
+    SELECT page_id, {_page_dir('url')} || 'l' || page_id || '.png' AS first,
+      {sql_root('url')} || '/r.png' AS second, 2 AS images,
+      '![pic ' || page_id || '](' || {_page_dir('url')} || 'l' || page_id || '.png)![]('
+        || {sql_root('url')} || '/r.png)' AS markdown FROM pages""")
+def page_images(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _pages(spark, folder)
+    pages = pages.withColumn("html", F.regexp_replace(
+        F.col("html"), F.lit("(?s)<article>.*</article>"), F.concat(F.lit("<article>"), _filled(_IMAGES), F.lit("</article>"))))
+    docs = extract_documents(pages)
+    return docs.select("page_id", F.get("images", F.lit(0)).alias("first"), F.get("images", F.lit(1)).alias("second"),
+                       F.size("images").alias("images"), "markdown")
+
+
+@query("region_pages", """
+    SELECT r_regionkey AS page_id, '## ' || r_name || chr(10) || chr(10) || ul || chr(10) || chr(10) || ol
+      || chr(10) || chr(10) || '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || tab
+      || chr(10) || chr(10) || '> ' || r_name || chr(10) || chr(10) || '```' || chr(10) || 'a  ' || r_name || chr(10)
+      || '```' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**' || r_name || '** *em* `code_x`' AS markdown
+    FROM region JOIN (SELECT n_regionkey,
+      string_agg('- ' || n_name || chr(10) || '  - ' || n_nationkey, chr(10) ORDER BY n_nationkey) AS ul,
+      string_agg(rn || '. ' || n_name, chr(10) ORDER BY n_nationkey) AS ol,
+      string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS tab
+      FROM (SELECT n_regionkey, n_nationkey, replace(n_name, '_', '\\_') AS n_name,
+        row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation)
+      GROUP BY 1) ON n_regionkey = r_regionkey""")
+def region_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """One page per region with lists, a table, a quote, code and emphasis."""
+    key, name = F.col("n_nationkey").cast("string"), F.col("n_name")
+
+    def listed(form: str) -> Column:
+        part = F.replace(F.replace(F.lit(form), F.lit("{key}"), key), F.lit("{name}"), name)
+        return F.array_join(F.transform(F.array_sort(F.collect_list(
+            F.struct("n_nationkey", part.alias("part")))), lambda r: r["part"]), "")
+
+    parts = table(spark, folder, "nation").groupBy("n_regionkey").agg(
+        listed("<li>{name}<ul><li>{key}</li></ul></li>").alias("ul"), listed("<li>{name}</li>").alias("ol"),
+        listed("<tr><td>{key}</td><td>{name}</td></tr>").alias("rows"))
+    html = F.concat_ws(
+        "", F.lit("<main><h2>"), "r_name", F.lit("</h2><ul>"), "ul", F.lit("</ul><ol>"), "ol",
+        F.lit("</ol><table><tr><th>key</th><th>name</th></tr>"), "rows", F.lit("</table><blockquote>"), "r_name",
+        F.lit("</blockquote><pre>a  "), "r_name", F.lit("</pre><hr><p><b>"), "r_name",
+        F.lit("</b> <em>em</em> <code>code_x</code></p></main><div id='footer'>noise</div>"))
+    pages = table(spark, folder, "region").join(parts, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("r_regionkey").alias("page_id"), F.lit("https://h.example.org/").alias("url"), html.alias("html"))
+    return extract_documents(pages).select("page_id", "markdown")
+
+
+@query("typed_records", """
+    SELECT event_id, kind AS page_type, CASE WHEN kind = 'blog' THEN event_type END AS blog_title,
+      CASE WHEN kind = 'forum' THEN user_id END AS forum_categories,
+      CASE WHEN kind = 'other' AND event_type <> 'error' THEN 's' || event_id END AS other_summary,
+      CASE kind WHEN 'blog' THEN 1 WHEN 'forum' THEN 1 ELSE (event_type = 'error')::INTEGER END AS missing_required
+    FROM (SELECT *, CASE event_type WHEN 'view' THEN 'blog' WHEN 'click' THEN 'forum' ELSE 'other' END AS kind
+      FROM events)""")
+def typed_records(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON answers read with the record schema of their page type; broken ones are empty."""
+    kind = F.when(F.col("event_type") == "view", "blog").when(F.col("event_type") == "click", "forum")
+    answer = F.when(F.col("event_type") == "error", "{broken").when(
+        kind == "blog", F.to_json(F.struct(F.col("event_type").alias("title"), F.array(F.lit("t")).alias("tags")))).when(
+        kind == "forum", F.to_json(F.struct(F.col("user_id").alias("category_count")))).otherwise(
+        F.to_json(F.struct(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("summary"))))
+    rows = table(spark, folder, "events").select(
+        "event_id", F.coalesce(kind, F.lit("other")).alias("page_type"), answer.alias("answer"))
+    return enrich(rows).select(
+        "event_id", "page_type", F.col("record_blog.title").alias("blog_title"),
+        F.col("record_forum.category_count").alias("forum_categories"),
+        F.col("record_other.summary").alias("other_summary"), "missing_required")

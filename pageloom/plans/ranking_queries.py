@@ -80,7 +80,10 @@ def latest_state_rows(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("event_type") == "signup")
 
 
-@query("random_sample")
+@query("random_sample", f"""
+    SELECT page_id, run FROM (SELECT page_id, {sql_netloc('url')} AS run, row_number() OVER (
+      PARTITION BY {sql_netloc('url')} ORDER BY md5({sql_netloc('url')} || '|' || page_id), page_id) AS rn
+      FROM pages) WHERE rn <= 5""")
 def random_sample(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", netloc(F.col("url")).alias("run"))
     return repeatable_sample(pages, "run", "page_id", 5)

@@ -64,10 +64,12 @@ def targeted(items: DataFrame, goal: str, queries: Sequence[str], n: int) -> Dat
 def research_report(pages: DataFrame, seeds: DataFrame, goal: str, queries: Sequence[str],
                     trusted: Sequence[str] = (), limits: Limits = Limits()) -> DataFrame:
     """Selected URLs with relevance and whether the page is captured."""
-    chosen = targeted(inventory(pages, seeds, trusted, limits), goal, queries, limits.pages)
-    captured = pages.select("url").distinct().withColumn("captured", F.lit(True))
-    # The left side has at most ``limits.pages`` rows.
-    return captured.join(F.broadcast(chosen), "url", "right").select(
+    chosen = cut_lineage(
+        targeted(inventory(pages, seeds, trusted, limits), goal, queries, limits.pages), "chosen")
+    # ``chosen`` has at most ``limits.pages`` rows, so the pages are only scanned.
+    captured = pages.select("url").join(F.broadcast(chosen.select("url")), "url", "left_semi")
+    captured = captured.distinct().withColumn("captured", F.lit(True))
+    return chosen.join(captured, "url", "left").select(
         "url", "item", "domain", F.round("score", 6).alias("score"),
         F.coalesce("captured", F.lit(False)).alias("captured"))
 
