@@ -66,9 +66,9 @@ def site_map(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_urls: int =
         new = first_per_group(new, ["seed"], ["key"], max_urls).withColumn("level", F.lit(level + 1))
         if level < depth:
             new = cut_lineage(new, "map-level")
-            if new.isEmpty():
-                break
         found = new if found is None else found.unionByName(new)
+        if level == depth or new.isEmpty():
+            break
         frontier = new.filter(F.col("url") != F.col("seed")).select("seed", "url", "key")
     by = Window.partitionBy("seed").orderBy("level", "key")
     ranked = found.withColumn("ordinal", F.row_number().over(by)).filter(
@@ -97,14 +97,12 @@ def crawl(edges: DataFrame, captures: DataFrame, seeds: DataFrame, depth: int =
     for level in range(depth + 1):
         if level < depth:
             frontier = cut_lineage(frontier, "frontier")
-            if frontier.isEmpty():
-                break
         hit = frontier.join(captured, "url", "left_semi").select("crawl_id", "url", "key")
         hit = first_per_group(hit, ["crawl_id"], ["key"], max_pages).withColumn("level", F.lit(level))
         if level < depth:
             hit = cut_lineage(hit, "crawl-level")
         found = hit if found is None else found.unionByName(hit)
-        if level == depth:
+        if level == depth or hit.isEmpty():
             break
         seen = frontier.select("crawl_id", "url")
         visited = seen if visited is None else visited.unionByName(seen)

@@ -77,11 +77,12 @@ def run_summary(pages: DataFrame) -> DataFrame:
 
 def global_summary(pages: DataFrame) -> DataFrame:
     """Over all runs: runs, pages, success percentage, fetch times, size."""
-    counted = _reduced(pages, [])
+    rows = _summaries(_reduced(pages, []), [])
+    # Distinct runs through a first grouping, then both one-row results side by side.
     runs = pages.groupBy("run_id").agg(F.lit(1).alias("_r")).agg(F.count("run_id").alias("runs"))
-    rows = _summaries(counted, [])
-    # Both sides are one row.
-    return runs.join(F.broadcast(rows), F.lit(True)).select(
+    both = rows.unionByName(runs, allowMissingColumns=True)
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return both.select(
         "runs", F.col("total").alias("pages"),
         F.round(F.try_divide(F.col("success") * 100, F.col("total")), 6).alias("success_pct"),
         round_to_int(F.col("_avg_ms")).alias("avg_ms"), round_to_int(F.col("_p95")).alias("p95_ms"),

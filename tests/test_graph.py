@@ -50,6 +50,13 @@ def test_crawl(spark, edges, seeds, depth, cap, urls):
     assert crawled(spark, edges, "sabde", seeds, depth=depth, max_pages=cap) == list(urls)
 
 
+def test_walks_without_edges_or_seeds_are_empty(spark, edges):
+    none = edges.filter("false")
+    assert mapped(spark, none, ["s"], depth=2) == [] and mapped(spark, none, ["s"], depth=0) == []
+    assert site_map(edges, edges.select("src").withColumnRenamed("src", "seed").filter("false")).count() == 0
+    assert crawled(spark, none, "s", "s", depth=2) == ["s"] and crawled(spark, edges, "a", "s", depth=2) == []
+
+
 def brute_map(graph, start, depth, cap):
     """Queue-based walk: expand pages in order, first discovery wins."""
     found, seen, queue = [], set(), [(start, 0)]
