@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -115,11 +116,10 @@ def has_web_scheme(url: Column) -> Column:
 
 
 def has_trusted_suffix(url: Column, suffixes: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    host = hostname(url)
-    for suffix in suffixes:
-        hit = hit | F.endswith(host, F.lit(suffix))
-    return F.coalesce(hit, F.lit(False))
+    if not suffixes:
+        return F.lit(False)
+    ends = "|".join(re.escape(s) for s in suffixes)
+    return F.coalesce(F.rlike(hostname(url), F.lit(rf"(?:{ends})\z")), F.lit(False))
 
 
 def safe_url(url: Column, trusted: Sequence[str] = (), resolved: Column | None = None) -> Column:

@@ -28,7 +28,7 @@ from pageloom.operators.triage import (
 )
 from pageloom.plans.registry import (
     LINKS, MARKDOWN, SQL_ARTICLE, SQL_NAV, SQL_SOURCE, SQL_TITLE, TRUSTED, TRUSTED_RE, q, query,
-    sql_decode, sql_flat, sql_netloc, sql_root, table,
+    sql_flat, sql_netloc, sql_root, table,
 )
 
 
