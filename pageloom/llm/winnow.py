@@ -18,20 +18,20 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def gram_hashes(hashes: Column, k: int) -> Column:
-    """Hash of every run of ``k`` word hashes; empty if there are fewer."""
-    return F.when(F.size(hashes) >= k, F.transform(
-        F.sequence(F.lit(0), F.size(hashes) - k),
-        lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))).otherwise(
+def runs(column: str, k: int, combine) -> Column:
+    """Combine every run of ``k`` elements of an array column; empty if there are fewer.
+
+    It takes a column's name: a lambda would work out an expression anew for each element.
+    """
+    return F.when(F.size(column) >= k, F.transform(
+        F.sequence(F.lit(0), F.size(column) - k),
+        lambda i: combine(*[F.get(F.col(column), i + j) for j in range(k)]))).otherwise(
         F.array().cast("array<bigint>"))
 
 
-def window_minima(grams: Column, width: int) -> Column:
-    """Smallest hash of every run of ``width`` grams."""
-    return F.when(F.size(grams) >= width, F.transform(
-        F.sequence(F.lit(0), F.size(grams) - width),
-        lambda i: F.least(*[F.get(grams, i + j) for j in range(width)]))).otherwise(
-        F.array().cast("array<bigint>"))
+def with_minima(frame: DataFrame, gram: int, width: int) -> DataFrame:
+    """Add ``m``: of word hashes ``h``, the smallest gram hash of every run of ``width`` grams."""
+    return frame.withColumn("g", runs("h", gram, F.xxhash64)).withColumn("m", runs("g", width, F.least))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
@@ -63,20 +63,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
                 .withColumn("set", F.xxhash64("items")))
     passages = cut_lineage(passages, "passages")
 
-    def minimum(span: Column) -> Column:
-        h = F.transform(span, lambda w: F.xxhash64(w))
-        return F.least(*[F.xxhash64(*[h[i + j] for j in range(gram)]) for i in range(keep)])
-
-    prints = cut_lineage(
-        passages.select(F.when(F.col("n") == window, minimum(F.col("span"))).otherwise(
-            F.xxhash64(F.col("span")[0])).alias("hash"), (F.col("n") < window).alias("short")).distinct(), "prints")
+    hashed = passages.select("n", F.transform("span", lambda w: F.xxhash64(w)).alias("h"))
+    prints = cut_lineage(with_minima(hashed, gram, keep).select(
+        F.when(F.col("n") == window, F.get("m", F.lit(0))).otherwise(F.get("h", F.lit(0))).alias("hash"),
+        (F.col("n") < window).alias("short")).distinct(), "prints")
     short = prints.where("short").limit(1).count() > 0
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
     read = rows.select("doc_id", "digest", words(F.col("text")).alias("w")).select(
         "doc_id", "digest", "w", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    marks = read.select("doc_id", "digest", F.explode(F.array_distinct(
-        window_minima(gram_hashes(F.col("h"), gram), keep))).alias("hash"), F.lit(False).alias("short"))
+    marks = with_minima(read, gram, keep).select("doc_id", "digest", F.explode(F.array_distinct("m")).alias("hash"), F.lit(False).alias("short"))
     if short:
         marks = marks.unionAll(read.select("doc_id", "digest", F.explode(F.array_distinct("h")).alias("hash"),
                                            F.lit(True).alias("short")))
@@ -91,7 +87,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
         "doc_id", "digest", "long_marks", "short_marks", "w",
         F.when(F.col("long_marks").isNull(), F.array().cast("array<bigint>"))
         .otherwise(F.transform("w", lambda w: F.xxhash64(w))).alias("h"))
-    minima = marked.withColumn("m", window_minima(gram_hashes(F.col("h"), gram), keep))
+    minima = with_minima(marked, gram, keep)
 
     def spans(n: int, chosen: Column) -> Column:
         return F.transform(chosen, lambda i: F.struct(
