@@ -10,7 +10,8 @@ import numpy as np
 
 # Words of these letters have no contraction, no composition and one lower-case form, so a tokenizer that
 # splits at white space and lower-cases gives each of them one run of ids, whatever stands around it.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]?)")
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_POINTS = frozenset(".,!?;:")
 _JOIN = 200
 
 
@@ -18,8 +19,9 @@ class IdEncoder:
     """Encodes texts as little-endian unsigned 32-bit ids, each text followed by an end id.
 
     A tokenizer that drops white space encodes every word on its own, so words are encoded once and
-    remembered (at most ``remember`` of them, then forgotten together). Texts are cut only at blanks,
-    tabs and line ends. A tokenizer that keeps white space encodes whole texts.
+    remembered: ``remember`` of them, and as many from before that are asked for again, beside those of one
+    call. Texts are cut only at blanks, tabs and line ends. A tokenizer that keeps white space encodes whole
+    texts.
     """
 
     def __init__(self, path: str, end_id: int, remember: int = 250_000):
@@ -31,6 +33,7 @@ class IdEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.remember = remember
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         last = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.closes = np.zeros(max(self.vocabulary, max(last, default=0) + 1), bool)
@@ -53,49 +56,52 @@ class IdEncoder:
             if len(ends) != len(mine) or ends[-1] != len(ids):
                 self.parts.update(zip(mine, self._whole(mine)))
                 continue
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(mine, (ends * 4).tolist()):
-                self.parts[word] = raw[at:end]
-                at = end
+            raw = ids.tobytes()
+            stops = (ends * 4).tolist()
+            self.parts.update(zip(mine, [raw[a:b] for a, b in zip([0, *stops], stops)]))
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.words) + len(new) > self.remember:
-            self.words.clear()
-        if len(self.parts) > self.remember:
-            self.parts.clear()
-        plain, cut, other = set(), [], []
+        """Encode words that are not known, or take them over from the generation before."""
+        old, words, parts = self.old, self.words, self.parts
+        if len(parts) > self.remember:
+            parts.clear()
+        for point in ".,!?;:":
+            if point not in parts:
+                parts[point] = self._whole([point])[0]
+        fresh, stems, other = [], set(), []
         for word in new:
-            m = _PLAIN.fullmatch(word)
-            if m is None:
-                other.append(word)
+            known = old.get(word)
+            if known is not None:
+                words[word] = known
                 continue
-            stem, point = m[1].lower(), m[2]
-            cut.append((word, stem, point))
-            if stem not in self.parts:
-                plain.add(stem)
-        for point in ".,!?;:":
-            if point not in self.parts:
-                self.parts[point] = self._whole([point])[0]
-        if plain:
-            self._plain(sorted(plain))
-        self.parts[""] = b""
-        self.words.update((word, self.parts[stem] + self.parts[point]) for word, stem, point in cut)
+            stem = word[:-1] if word[-1:] in _POINTS else word
+            if stem.isalpha() if stem.isascii() else _PLAIN.fullmatch(stem):
+                fresh.append(word)
+                low = stem.lower()
+                if low not in parts:
+                    stems.add(low)
+            else:
+                other.append(word)
+        if stems:
+            self._plain(list(stems))
+        for word in fresh:
+            words[word] = (parts[word[:-1].lower()] + parts[word[-1]] if word[-1] in _POINTS
+                           else parts[word.lower()])
         if other:
-            self.words.update(zip(other, self._whole(other)))
+            words.update(zip(other, self._whole(other)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and the end id; a null text counts as empty."""
         if not self.by_word:
             return [x + self.end for x in self._whole([t or "" for t in texts])]
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        wanted = set().union(*split)
-        new = wanted - self.words.keys()
+        if len(self.words) > self.remember:
+            self.old, self.words = self.words, {}
+        new = set().union(*split) - self.words.keys()
         if new:
             self._learn(new)
-            if missing := wanted - self.words.keys():  # forgotten just now
-                self._learn(missing)
-        words = self.words
-        return [b"".join([words[w] for w in ws]) + self.end for ws in split]
+        words, end = self.words, self.end
+        return [b"".join([words[w] for w in ws]) + end for ws in split]
 
 
 @lru_cache(maxsize=2)
