@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import (
-    decode_entities, decode_sql, let, null_if_empty, pystrip,
+    decode_entities, decode_sql, let, null_if_empty, pystrip, sql_text,
 )
 
 RAW_TEXT = (
@@ -36,6 +36,82 @@ def split_tokens(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
 
 
+# Elements that style text and stay in force when a block ends before them.
+STYLING = ("a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u")
+
+# Start tags, the open elements that each of them ends, and what shields elements outside it.
+_BLOCKS = tuple(
+    "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header "
+    "hr main menu nav ol p pre section table ul".split())
+_SHIELD = ("table", "td", "th", "caption", "button")
+_CELLS = ("td", "th")
+_ROWS = (*_CELLS, "tr", "thead", "tbody", "tfoot")
+ENDED_BY = (
+    (("li",), ("li",), ("ul", "ol", "menu", *_SHIELD)),
+    (("dt", "dd"), ("dt", "dd"), ("dl", *_SHIELD)),
+    (("option",), ("option",), ("select", "datalist")),
+    (("optgroup",), ("option", "optgroup"), ("select",)),
+    (_CELLS, _CELLS, ("tr", "table")),
+    (("tr",), (*_CELLS, "tr"), ("table",)),
+    (("tbody", "tfoot", "thead"), _ROWS, ("table",)),
+    (("body",), ("head",), ()),
+    (_BLOCKS, ("p",), _SHIELD),
+)
+IN_TABLE = ("table", *_ROWS, "caption")
+IN_HEAD = ("head", "title", "meta", "link", "base", "noscript", "template", "script", "style")
+_STEPS = 256
+
+
+def _names(names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+def closed_sql(html: str) -> str:
+    """SQL: HTML with the end tags that one may leave out, and without those that end nothing.
+
+    An element ends at its own end tag, at a start tag that it cannot contain, or with its parent,
+    whichever comes first; styling elements are passed on as they are. The tags are gone through once with the
+    open elements as the state. What has been written is kept in pieces of a few hundred tags,
+    so the work grows with the page and not with its square.
+    """
+    # r: open elements, innermost first; the value is how many of them end before the tag.
+    cut = "CASE WHEN get(r, 0) = 'head' AND x.n NOT IN (" + _names(IN_HEAD) + ") THEN 1"
+    for starts, ended, shields in ENDED_BY:
+        shield = f"coalesce(nullif(array_position(transform(r, m -> m IN ({_names(shields)})), true), 0) - 1, size(r))"
+        within = f"slice(r, 1, CAST({shield} AS INT))" if shields else "r"
+        cut += (f" WHEN x.n IN ({_names(starts)}) THEN coalesce(array_max(transform({within}, "
+                f"(m, i) -> if(m IN ({_names(ended)}), i + 1, 0))), 0)")
+    cut += " ELSE 0 END"
+    own = "array_position(r, x.n)"
+    guard = "array_position(transform(r, m -> m IN ('td', 'th', 'table')), true)"
+    found = f"if(x.n IN ({_names(IN_TABLE)}) OR {guard} = 0 OR {own} <= {guard}, {own}, 0)"
+    ends = "array_join(transform({0}, m -> concat('</', m, '>')), '')"
+
+    def step(stack: str, piece: str) -> str:
+        return (f"named_struct('open', {stack}, 'now', if(size(s.now) < {_STEPS}, array_append(s.now, {piece}), array({piece})), "
+                f"'done', if(size(s.now) < {_STEPS}, s.done, array_append(s.done, array_join(s.now, ''))))")
+
+    rest = "slice(r, CAST(k AS INT) + 1, size(r))"
+    close = step(rest, f"if(k = 0, '', concat({ends.format('slice(r, 1, CAST(k AS INT) - 1)')}, x.t))")
+    start = step(f"if(x.n IN ({_names(VOID)}), {rest}, array_prepend({rest}, x.n))",
+                 f"concat({ends.format('slice(r, 1, CAST(k AS INT))')}, x.t)")
+    kept = step("s.open", "x.t")
+    bound = "get(transform(array(s.open), r -> get(transform(array({0}), k -> {1}), 0)), 0)"
+    merge = (f"CASE WHEN x.n = '' OR x.n IN ({_names(STYLING)}) THEN {kept} "
+             f"WHEN startswith(x.t, '</') THEN {bound.format(found, close)} ELSE {bound.format(f'CAST({cut} AS BIGINT)', start)} END")
+    tokens = (f"transform(regexp_extract_all({html}, {sql_text(TOKEN)}, 0), t -> named_struct('t', t, "
+              r"'n', lower(regexp_extract(t, r'^</?([a-zA-Z][^\s/>]*)', 1))))")
+    zero = ("named_struct('open', CAST(array() AS array<string>), 'now', CAST(array() AS array<string>), "
+            "'done', CAST(array() AS array<string>))")
+    return (f"aggregate({tokens}, {zero}, (s, x) -> {merge}, s -> concat(array_join(s.done, ''), "
+            f"array_join(s.now, ''), {ends.format('s.open')}))")
+
+
+def close_elements(html: Column) -> Column:
+    """HTML whose elements all have their end tags, see :func:`closed_sql`."""
+    return let(html, f"h -> {closed_sql('h')}")
+
+
 def tag_name(token: Column) -> Column:
     return F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][^\s/>]*)", 1))
 

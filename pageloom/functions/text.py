@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import lru_cache
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,9 +110,14 @@ def _entity_table() -> str:
     every expression that decodes text.
     """
     first = ["amp", "quot", "lt", "gt", "nbsp", "apos", "copy", "middot"]
-    table = {"apos": 39, **name2codepoint}
-    names = first + sorted(n for n in table if n not in first)
-    return _KEY + _KEY.join(f"&{n};{_END}{chr(table[n])}" for n in names) + _KEY
+    names = [f"{n};" for n in first] + sorted(n for n in html5 if n.removesuffix(";") not in first or not n.endswith(";"))
+    return _KEY + _KEY.join(f"&{n}{_END}{html5[n]}" for n in names) + _KEY
+
+
+@lru_cache(maxsize=1)
+def _bare_names() -> str:
+    """Names that HTML decodes without a semicolon, longest first, as an alternation."""
+    return "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 
 
 def decode_sql(x: str) -> str:
@@ -128,10 +133,11 @@ def decode_sql(x: str) -> str:
         f"CASE WHEN instr({table}, {marker}) > 0 THEN substring_index(substr({table}, "
         f"instr({table}, {marker}) + length({marker})), {key}, 1) END"
     )
+    digits = "trim(LEADING '0' FROM translate(p, '&#xX;', ''))"
     number = (
-        "CAST(CASE WHEN p RLIKE '^&#[0-9]{1,8};$' THEN conv(substr(p, 3, length(p) - 3), 10, 10) "
-        "WHEN p RLIKE '^&#[xX][0-9a-fA-F]{1,7};$' THEN conv(substr(p, 4, length(p) - 4), 16, 10) "
-        "END AS BIGINT)"
+        f"CAST(CASE WHEN NOT p RLIKE '^&#([0-9]+|[xX][0-9a-fA-F]+);?$' THEN NULL WHEN length({digits}) > 8 THEN '-1' "
+        f"WHEN p RLIKE '^&#[0-9]' THEN conv(concat('0', {digits}), 10, 10) "
+        f"ELSE conv(concat('0', {digits}), 16, 10) END AS BIGINT)"
     )
     character = (
         "CASE WHEN n > 0 AND n <= 1114111 AND n NOT BETWEEN 55296 AND 57343 "
@@ -147,7 +153,7 @@ def decode_sql(x: str) -> str:
         f"CASE WHEN NOT contains({x}, '&') THEN {x} "
         f"WHEN NOT contains(replace({x}, '&amp;', ''), '&') THEN replace({x}, '&amp;', '&') "
         f"ELSE array_join(transform(regexp_extract_all({x}, "
-        f"'&#?[0-9a-zA-Z]{{1,32}};|[^&]+|&', 0), p -> {piece}), '') END"
+        f"'&(?:[0-9a-zA-Z]+;|#[0-9]+;?|#[xX][0-9a-fA-F]+;?|{_bare_names()})|[^&]+|&', 0), p -> {piece}), '') END"
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.html import attr, attribute_sql, first_tag, without_raw_text
+from pageloom.functions.html import attr, attribute_sql, first_tag
 from pageloom.functions.text import (
     collapse_space, decode_entities, let, null_if_empty, pystrip,
 )
@@ -100,9 +100,7 @@ def extract_documents(pages: DataFrame, mode: str = "declared", only_main: bool
     into tokens and travels on one token row per page.
     """
     cleaning = Cleaning(mode, only_main)
-    source = without_raw_text(F.col("html"))
-    staged = by_page(pages, key).withColumn("_source", source)
-    staged = staged.withColumn("_entries", meta_entries(F.col("_source")))
+    staged = by_page(pages, key).withColumn("_entries", meta_entries(F.col("_source")))
     carry = {
         "url": F.col("url"),
         "raw_html": F.col("html"),

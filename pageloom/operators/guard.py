@@ -37,10 +37,10 @@ class Rule:
 
 
 RULES = (
-    Rule(r"\b(ignore|disregard|forget)\b.{0,60}\b(previous|prior|before|earlier|above)\b", 0.85,
+    Rule(r"(?s)\b(ignore|disregard|forget)\b.{0,60}\b(previous|prior|before|earlier|above)\b", 0.85,
          ("ignore", "disregard", "forget")),
     Rule(r"\bnew instructions\b", 0.6, ("new instructions",)),
-    Rule(r"\b(reveal|print|output|show|repeat)\b.{0,30}\b(instructions|system (prompt|message))", 0.7,
+    Rule(r"(?s)\b(reveal|print|output|show|repeat)\b.{0,30}\b(instructions|system (prompt|message))", 0.7,
          ("instructions", "system prompt", "system message")),
     Rule(r"\b(developer|debug|god|jailbreak) mode\b", 0.6, (" mode",)),
     Rule(r"\b(no|without) (any )?(restrictions|limits|rules)\b", 0.6,

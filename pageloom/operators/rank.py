@@ -103,15 +103,16 @@ def expand_query(documents: DataFrame, goal: str, n: int = 6, feedback: int = 10
                  text: str = "text", key: str = "doc_id") -> DataFrame:
     """Search queries from the corpus: goal plus its best co-occurring terms.
 
-    The most relevant documents give candidate terms; each is weighted by its
-    frequency there and its rarity in the whole corpus. Returns
+    The ``feedback`` most relevant documents, a parameter of pseudo-relevance
+    feedback, give candidate terms; each is weighted by its frequency there and its
+    rarity in the whole corpus. Returns
     ``(query_no, query)``; the bare goal when nothing matches.
     """
     terms = query_terms(goal)
     scored = relevance(documents, text, terms).filter(F.col("score") > 0)
     top = scored.orderBy(F.desc("score"), key).limit(feedback).select(key, text)
     near = top.select(F.explode(words(F.col(text))).alias("term"))
-    near = near.filter((F.length("term") > 2) & ~F.col("term").isin(*terms or [""]))
+    near = near.filter(~F.col("term").isin(*terms or [""]))
     # Terms of the feedback documents only: written once, because it is used twice below.
     near = cut_lineage(near.groupBy("term").agg(F.count(F.lit(1)).alias("tf")), "near-terms")
     total = documents.count()

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pageloom.functions.html import (
-    VOID, attribute_sql, attributes_sql, split_tokens, tag_name, without_raw_text,
+    VOID, attribute_sql, attributes_sql, close_elements, split_tokens, tag_name, without_raw_text,
 )
+from pageloom.functions.text import PY_SPACE
 
 # Elements dropped with their content because they are active.
 ACTIVE = ("script", "style", "iframe", "form", "input", "button")
@@ -45,6 +46,9 @@ FORCE_IDS = ("main",)
 FORCE_CLASSES = ("main-content", "content", "post", "entry")
 FORCE_ROLES = ("main",)
 
+# References to white space, so that text of nothing else counts as blank.
+BLANK_REFERENCE = r"&(?:nbsp|ensp|emsp|thinsp|Tab|NewLine|#0*(?:9|10|12|13|32|160|8192|8193|8194|8195|8201)|#[xX]0*(?:9|[aA]|[cC]|[dD]|20|[aA]0|2003|2009));?"
+
 # Elements that cannot contain themselves: a new one ends the one before.
 FLAT = ("p", "a", "dt", "dd", "option")
 
@@ -80,14 +84,17 @@ class Cleaning:
 
 
 def by_page(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Shuffle pages, as captured, to the partitions of their key.
+    """Shuffle pages to the partitions of their key, with ``_source``: their HTML without comments,
+    scripts and styles, and with the end tags that were left out.
 
+    Raw text is removed before the shuffle; the page as captured is shuffled only where it is asked for.
     The partition count is fixed to ``spark.sql.shuffle.partitions``: tokens take
     several times the space of the page, so partitions must not be merged by
     the size of the captured text.
     """
     count = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pages.repartition(count, key)
+    source = close_elements(without_raw_text(F.col("html")))
+    return pages.withColumn("_source", source).repartition(count, key)
 
 
 def tokenize(pages: DataFrame, key: str = "page_id",
@@ -103,7 +110,7 @@ def tokenize(pages: DataFrame, key: str = "page_id",
     prepared = pages.select(
         key,
         *[c.alias(name) for name, c in {**carry, **repeat}.items()],
-        without_raw_text(F.col("html")).alias("_html"),
+        F.col("_source").alias("_html"),
     ).select(
         key, *carry, *repeat,
         F.rlike("_html", F.lit(r"(?i)<body[\s>]")).alias("has_body"),
@@ -264,7 +271,8 @@ def keep_content(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     out = out.withColumn(
         "_main",
         F.col("_content") & (F.col("_noise_depth") == 0) & ~(is_void & F.col("drop_noise")))
-    visible = F.when(F.col("kind") == "text", F.rlike("tok", F.lit(r"[^ \t\r\n\f]"))).otherwise(
+    text = F.regexp_replace("tok", BLANK_REFERENCE, " ")
+    visible = F.when(F.col("kind") == "text", F.rlike(text, F.lit(f"[^{PY_SPACE}]"))).otherwise(
         F.col("kind").isin("open", "void") & F.col("tag").isin("img", "hr", "br", "li", "td", "th"))
     out = out.withColumn("_has_main", F.max(F.col("_main") & visible).over(whole))
     keep = F.col("_content") & (F.col("_main") | ~F.col("_has_main"))

@@ -31,7 +31,6 @@ TYPE_PHRASES = {
     "index": ("index of",),
     "phishing": ("verify your", "account suspended", "confirm your password", "login now"),
 }
-VOTE_CAP = 10
 
 # Frequent function words per language.
 STOP_WORDS = {
@@ -49,13 +48,13 @@ def phrase_count(low: Column, phrase: str) -> Column:
 
 
 def type_votes(low: Column, hits: str) -> dict[str, Column]:
-    """Votes per page type: its words and phrases, each type capped."""
+    """Votes per page type: all of its words and phrases."""
     votes = {}
     for name, listed in TYPE_WORDS.items():
         total = listed_count(hits, listed) if listed else F.lit(0)
         for phrase in TYPE_PHRASES.get(name, ()):
             total = total + phrase_count(low, phrase)
-        votes[name] = F.least(total, F.lit(VOTE_CAP))
+        votes[name] = total
     return votes
 
 

@@ -24,7 +24,7 @@ from pageloom.operators.telemetry import (
     domain_counts, interpolated, page_facts, result_report, token_similarity,
 )
 from pageloom.operators.triage import (
-    PAGE_TYPES, STOP_WORDS, TYPE_PHRASES, TYPE_WORDS, VOTE_CAP, checked_triage, identify_language, triage,
+    PAGE_TYPES, STOP_WORDS, TYPE_PHRASES, TYPE_WORDS, checked_triage, identify_language, triage,
 )
 from pageloom.plans.registry import (
     LINKS, MARKDOWN, SQL_ARTICLE, SQL_NAV, SQL_SOURCE, SQL_TITLE, TRUSTED, TRUSTED_RE, q, query,
@@ -389,7 +389,7 @@ def _sql_votes(text: str) -> str:
     for name, listed in TYPE_WORDS.items():
         parts = [f"len(list_filter(toks, lambda w: w IN ({', '.join(q(w) for w in listed)})))"] if listed else ["0"]
         parts += [f"len(string_split(lower({text}), {q(p)})) - 1" for p in TYPE_PHRASES.get(name, ())]
-        out.append(f"least({' + '.join(parts)}, {VOTE_CAP}) AS v_{name}")
+        out.append(f"({' + '.join(parts)}) AS v_{name}")
     return ", ".join(out)
 
 
@@ -694,3 +694,46 @@ def typed_records(spark: SparkSession, folder: str) -> DataFrame:
         "event_id", "page_type", F.col("record_blog.title").alias("blog_title"),
         F.col("record_forum.category_count").alias("forum_categories"),
         F.col("record_other.summary").alias("other_summary"), "missing_required")
+
+
+# Pages of the table with end tags left out, by page_id mod 4; {0} stands for the URL.
+_LEFT_OUT = (
+    '<p>{0}</p><section><div class="ad">x<div>y</section><p>keep {0}</p>',
+    '<p>{0}</p><ul><li class="menu">m<li>keep {0}</ul><p>after</p>',
+    '<p>{0}<p>two<div><span id="share">s</div>{0}</p></div><article><dl><dt>a<dd>b</dl></article>',
+    "<nav><a href='/n'>{0}</a></nav><article><p>&nbsp;&#160;</p></article>",
+)
+
+
+def _left_out(spark: SparkSession, folder: str, forms: tuple[str, ...]) -> DataFrame:
+    html = F.when(F.lit(False), "")
+    for k, form in enumerate(forms):
+        html = html.when(F.col("page_id") % len(forms) == k, F.replace(F.lit(form), F.lit("{0}"), F.col("url")))
+    return _pages(spark, folder).withColumn("html", html)
+
+
+@query("unclosed_noise_text", """
+    SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || ' keep ' || url WHEN 1 THEN url || ' keep ' || url || ' after'
+      WHEN 2 THEN url || ' two ' || url || ' a b' ELSE url END AS text FROM pages""")
+def unclosed_noise_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Visible text where noise elements are not closed, or all main content is blank."""
+    found = visible_text(_left_out(spark, folder, _LEFT_OUT))
+    return found.select("page_id", F.trim(F.regexp_replace("visible_text", "[\\s\xa0]+", " ")).alias("text"))
+
+
+_OPEN_TABLES = (
+    "<table><tr><th>k<th>{0}<tr><td>1<td>{0}</table><p>after",
+    "<table><thead><tr><th>k<th>v<tbody><tr><td class=side>s<td>{0}</table><p>after",
+    "<ul><li>a<ul><li>{0}<li>c</ul><li>d</ul>",
+)
+
+
+@query("optional_end_tags_markdown", """
+    SELECT page_id, CASE page_id % 3
+      WHEN 0 THEN '| k | ' || url || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || url || ' |' || chr(10) || chr(10) || 'after'
+      WHEN 1 THEN '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || url || ' |' || chr(10) || chr(10) || 'after'
+      ELSE '- a' || chr(10) || '  - ' || url || chr(10) || '  - c' || chr(10) || '- d' END AS markdown
+    FROM (SELECT page_id, replace(url, '_', '\\_') AS url FROM pages)""")
+def optional_end_tags_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """Markdown of tables and lists whose end tags are left out."""
+    return extract_documents(_left_out(spark, folder, _OPEN_TABLES)).select("page_id", "markdown")

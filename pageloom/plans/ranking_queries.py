@@ -93,7 +93,7 @@ def random_sample(spark: SparkSession, folder: str) -> DataFrame:
     WITH {bm25_sql('documents', 'text', GOAL, 'doc_id, text, toks')},
     top AS (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10),
     near AS (SELECT term, count(*) AS tf FROM (SELECT unnest(toks) AS term FROM top)
-      WHERE length(term) > 2 AND term NOT IN ({', '.join(q(t) for t in query_terms(GOAL))}) GROUP BY 1),
+      WHERE term NOT IN ({', '.join(q(t) for t in query_terms(GOAL))}) GROUP BY 1),
     spread AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(toks) AS term FROM scored) GROUP BY 1),
     w AS (SELECT term, round(tf * ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / df), 6) AS weight
       FROM near JOIN spread USING (term))
@@ -242,7 +242,7 @@ _TERMS = query_terms(GOAL)
     WITH {bm25_sql('documents', 'text', GOAL, 'doc_id, text, toks')},
     top AS (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10),
     near AS (SELECT term, count(*) AS tf FROM (SELECT unnest(toks) AS term FROM top)
-      WHERE length(term) > 2 AND term NOT IN ({', '.join(q(t) for t in _TERMS)}) GROUP BY 1),
+      WHERE term NOT IN ({', '.join(q(t) for t in _TERMS)}) GROUP BY 1),
     spread AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(toks) AS term FROM scored) GROUP BY 1),
     best AS (SELECT term FROM near JOIN spread USING (term)
       ORDER BY round(tf * ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / df), 6) DESC, term LIMIT 6),

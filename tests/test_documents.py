@@ -29,6 +29,13 @@ PAGES = {
     20: "<ol><li><p>a</p></li><li>b<ol><li>c</li></ol></li><li>d</li></ol><p>e <b> f </b><i>g</i> *</p>",
     21: "<p><b>one<br><p>two</p><p>three</p>",
     22: "<title>T</title><nav>menu</nav><p>body</p>",
+    24: '<p>first</p><section><div class="ad">x</section><p>keep me</p>',
+    25: '<p>first</p><ul><li class="menu">m<li>keep</ul><p>after</p>',
+    26: '<p>first</p><table><tr><td class="side">s<td>keep</table><p>after</p>',
+    27: "<table><tr><td>a<td>b<tr><td>c<td>d</table>",
+    28: '<nav><a href="/n">menu</a></nav><article><p>&nbsp;</p></article>',
+    29: "<p>&copy 2024 &notit; &NotEqualTilde; &#99999999999999999999; &#x1F600 &amp</p>",
+    30: "<div><p>a<div>b</p></div></div></section>c<p>d</p>",
     23: '<ul class="menu"><li>n</li></ul><section id="nav">n</section><div role="main">k</div>',
 }
 SCHEMA = "page_id long, url string, html string"
@@ -58,6 +65,9 @@ def sanitized(pages):
     (12, "[l1\\\\\nl2](https://h.example.org/x)[Skip to main content](https://h.example.org/d/p#m)"),
     (13, "a < b &lt; c 'dA"), (14, "a < b"), (15, "[t](https://h.example.org/q)"),
     (16, "[n](https://h.example.org/n)"), (17, ""), (18, ""),
+    (24, "first\n\nkeep me"), (25, "first\n\n- keep\n\nafter"), (26, "first\n\n| keep |\n| --- |\n\nafter"),
+    (27, "| a | b |\n| --- | --- |\n| c | d |"), (28, "[menu](https://h.example.org/n)"),
+    (29, "© 2024 &notit; ≂̸ \ufffd 😀 &"), (30, "a\n\nb\n\nc\n\nd"),
     (19, "j <https://h.example.org/u>"),
     (20, "1. a\n\n2. b\n   1. c\n3. d\n\ne  **f** *g* \\*"),
     (21, "**one**\\\n\n**two**\n\n**three**"), (22, "body"), (23, "k"),
