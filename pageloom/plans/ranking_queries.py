@@ -116,9 +116,9 @@ def context_row(spark: SparkSession, folder: str) -> DataFrame:
 # ---- telemetry -----------------------------------------------------------------------------
 
 
-def event_facts(spark: SparkSession, folder: str) -> DataFrame:
+def event_facts(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     """Events as page facts: user is the run, value the fetch time."""
-    events = table(spark, folder, "events")
+    events = table(spark, folder, "events") if events is None else events
     return events.select(
         F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("run_id"),
         F.floor("value").cast("int").alias("fetch_ms"),
