@@ -46,6 +46,11 @@ def _children(frontier: DataFrame, edges: DataFrame, group: str, anchor: bool) -
     return step.groupBy(group, "url").agg(*aggs)
 
 
+def open_groups(found: DataFrame, group: str, cap: int) -> DataFrame:
+    """Groups that have not found as many as the cap; the others need no further level."""
+    return found.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < cap).select(group)
+
+
 def site_map(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_urls: int = 200) -> DataFrame:
     """URLs reachable from each seed: ``(seed, ordinal, depth, url, anchor)``.
 
@@ -67,9 +72,12 @@ def site_map(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_urls: int =
         if level < depth:
             new = cut_lineage(new, "map-level")
         found = new if found is None else found.unionByName(new)
-        if level == depth or new.isEmpty():
+        if level == depth:
+            break
+        frontier = new.filter(F.col("url") != F.col("seed")).select("seed", "url", "key").join(
+            open_groups(found, "seed", max_urls), "seed", "left_semi")
+        if frontier.isEmpty():
             break
-        frontier = new.filter(F.col("url") != F.col("seed")).select("seed", "url", "key")
     by = Window.partitionBy("seed").orderBy("level", "key")
     ranked = found.withColumn("ordinal", F.row_number().over(by)).filter(
         F.col("ordinal") <= max_urls)
@@ -102,7 +110,10 @@ def crawl(edges: DataFrame, captures: DataFrame, seeds: DataFrame, depth: int =
         if level < depth:
             hit = cut_lineage(hit, "crawl-level")
         found = hit if found is None else found.unionByName(hit)
-        if level == depth or hit.isEmpty():
+        if level == depth:
+            break
+        hit = hit.join(open_groups(found, "crawl_id", max_pages), "crawl_id", "left_semi")
+        if hit.isEmpty():
             break
         seen = frontier.select("crawl_id", "url")
         visited = seen if visited is None else visited.unionByName(seen)

@@ -16,34 +16,13 @@ from pageloom.operators.triage import triage
 from pageloom.session import cut_lineage
 
 
-def interpolated(counted: DataFrame, group: Sequence[str], value: str, n: str,
-                 q: float) -> DataFrame:
-    """Add ``_pct``, the interpolated percentile of the group, to its counted rows.
-
-    ``counted`` has one row per group and whole-number value with its frequency
-    ``n``. The value at a rank is found from running frequencies, and the result
-    is ``low + (high - low) * fraction``, as SQL ``percentile_cont`` has it.
-    """
-    by = Window.partitionBy(*group)
-    upto = by.orderBy(F.col(value).asc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    out = counted.withColumns({"_cum": F.sum(n).over(upto), "_all": F.sum(n).over(by)})
-    out = out.withColumn("_rank", (F.col("_all") - 1) * F.lit(q))
-    low, high = F.floor("_rank"), F.ceil("_rank")
-    out = out.withColumns({
-        "_lo": F.min(F.when(F.col("_cum") > low, F.col(value))).over(by),
-        "_hi": F.min(F.when(F.col("_cum") > high, F.col(value))).over(by)})
-    pct = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_rank") - low)
-    return out.withColumn("_pct", pct).drop("_cum", "_all", "_rank", "_lo", "_hi")
-
-
 def _summaries(counted: DataFrame, group: Sequence[str]) -> DataFrame:
     """Aggregates from rows reduced to one per (group, fetch_ms)."""
-    return interpolated(counted, group, "fetch_ms", "n_ms", 0.95).groupBy(*group).agg(
+    return counted.groupBy(*group).agg(
         F.sum("n").alias("total"),
         F.sum("ok").alias("success"),
         (F.sum(F.col("fetch_ms").cast("double") * F.col("n_ms")) / F.sum("n_ms")).alias("_avg_ms"),
-        F.max("_pct").alias("_p95"),
+        F.percentile("fetch_ms", 0.95, F.col("n_ms")).alias("_p95"),
         (F.sum("chars") / F.sum("n_chars")).alias("_avg_chars"),
         F.sum("flagged").alias("injections"),
     )
@@ -93,8 +72,8 @@ def percentile_by(df: DataFrame, group: Sequence[str], value: str, q: float = 0.
     """Exact interpolated percentile of a whole-number column per group."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(
         F.count(F.lit(1)).alias("_n"))
-    return interpolated(counted, group, value, "_n", q).groupBy(*group).agg(
-        F.sum("_n").alias("n"), F.max("_pct").alias("percentile"))
+    return counted.groupBy(*group).agg(
+        F.sum("_n").alias("n"), F.percentile(value, q, F.col("_n")).alias("percentile"))
 
 
 def of_run(pages: DataFrame, run_id: str) -> DataFrame:

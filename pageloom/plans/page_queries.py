@@ -21,7 +21,7 @@ from pageloom.operators.links import (
     external_urls, in_scope, link_edges, page_links, short_anchor_items, with_host_address,
 )
 from pageloom.operators.telemetry import (
-    domain_counts, interpolated, page_facts, result_report, token_similarity,
+    domain_counts, page_facts, result_report, token_similarity,
 )
 from pageloom.operators.triage import (
     PAGE_TYPES, STOP_WORDS, TYPE_PHRASES, TYPE_WORDS, checked_triage, identify_language, triage,
@@ -54,10 +54,10 @@ def host_page_summary(spark: SparkSession, folder: str) -> DataFrame:
     # One row per host and length, combined before the shuffle.
     counted = rows.groupBy("host", "chars").agg(
         F.count(F.lit(1)).alias("n"), F.count("title").alias("titled"), F.sum("links").alias("links"))
-    return interpolated(counted, ["host"], "chars", "n", 0.95).groupBy("host").agg(
+    return counted.groupBy("host").agg(
         F.sum("n").alias("pages"), F.sum("titled").alias("titled"), F.sum("links").alias("links"),
         round_to_int(F.sum(F.col("chars") * F.col("n")) / F.sum("n")).alias("avg_chars"),
-        round_to_int(F.max("_pct")).alias("p95_chars"))
+        round_to_int(F.percentile("chars", 0.95, F.col("n"))).alias("p95_chars"))
 
 
 @query("page_titles", f"SELECT page_id, {SQL_TITLE} AS title FROM pages")

@@ -46,7 +46,8 @@ def inventory(pages: DataFrame, seeds: DataFrame, trusted: Sequence[str] = (),
     items = placed.withColumn("item", item_text(F.col("anchor"), F.col("url"))).select(*columns)
     order = ["seed_no", "seed_order", "ordinal"]
     unique = ordered_distinct(items, ["item"], order).withColumn("domain", netloc(F.col("url")))
-    capped = domain_cap(unique, "domain", order, limits.per_domain)
+    # Written once: the fallback asks whether there are any, and scoring reads them twice.
+    capped = cut_lineage(domain_cap(unique, "domain", order, limits.per_domain), "inventory")
     bare = seeds.select(
         F.col("url").alias("item"), "url", F.col("origin_no").alias("seed_no"),
         F.col("order").alias("seed_order"), F.lit(0).cast("bigint").alias("ordinal"),
