@@ -23,7 +23,7 @@ _MIN_VALUE, _MIN_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "pem", "key", "jwt")
 
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,4}")
+_SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*){0,2}\.[A-Za-z0-9_-]+")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
 
@@ -137,7 +137,13 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             if any(map(is_private_key, decoded("".join(m[2].split())))):
                 out.append(("pem", *m.span()))
     if "eyJ" in text:
-        out += [("jwt", *m.span()) for m in _SIGNED.finditer(text) if is_signed_token(m[0])]
+        for m in _SIGNED.finditer(text):
+            parts = m[0].split(".")
+            for n in (5, 3):  # encrypted or signed; more parts are text that follows
+                run = ".".join(parts[:n])
+                if len(parts) >= n and is_signed_token(run):
+                    out.append(("jwt", m.start(), m.start() + len(run)))
+                    break
     for m in _RUN.finditer(text):
         # A key's first bytes are a sequence or the name of its format: MA to MP, or b3BlbnNzaC.
         if (m[0][0] == "M" or m[0].startswith("b3BlbnNzaC")) and any(map(is_private_key, decoded(m[0]))):

@@ -17,9 +17,12 @@ from pageloom.llm.frames import slices, table
 DECAY = 0.6
 LONGEST, STEP = 32, 16
 REMEMBER = 250_000
+# Deviations by which a landmark must be commoner in toxic texts.
+CLEAR = 5.0
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ ]){3,}\S(?!\S)")
 _EDGE = re.compile(r"^\W+|\W+$")
+_INNER = re.compile(r"[\W_]+")
 
 
 # ---- the kernel ------------------------------------------------------------------------------------------
@@ -90,14 +93,23 @@ class Landmarks:
             return out
         table_ = codes(words)
         masks = letter_masks(table_)
+        lengths = (table_ != 0).sum(1)
         for k, (landmark, mask) in enumerate(zip(self.words, self.masks)):
             rows = np.flatnonzero(np.bitwise_count(mask & ~masks) <= 1)
-            if len(rows):
-                share = subsequence_kernel(table_[rows], landmark) / self.self_values[k]
-                out[rows, k] = np.where(share >= 0.2, np.minimum(share, 1), 0)
+            for at, width in _chunks(rows, lengths):
+                share = subsequence_kernel(table_[at, :width], landmark) / self.self_values[k]
+                out[at, k] = np.where(share >= 0.2, np.minimum(share, 1), 0)
         return out
 
 
+def _chunks(rows: np.ndarray, lengths: np.ndarray, most: int = 1024) -> Iterator[tuple[np.ndarray, int]]:
+    """Rows in chunks of like length that stay in the processor's cache, each with its width."""
+    rows = rows[np.argsort(lengths[rows], kind="stable")]
+    for i in range(0, len(rows), most):
+        part = rows[i:i + most]
+        yield part, int(lengths[part[-1]])
+
+
 # ---- sentences -------------------------------------------------------------------------------------------
 
 
@@ -116,7 +128,14 @@ def sentence_words(text: str) -> list[list[str]]:
 
 
 def bare(word: str) -> list[str]:
+    """The word without outer punctuation, and without inner punctuation either if it is split by some."""
     word = _EDGE.sub("", word)
+    if not word.isalnum() and (whole := _INNER.sub("", word)) != word:
+        return windows(word) + windows(whole)
+    return windows(word)
+
+
+def windows(word: str) -> list[str]:
     if len(word) <= LONGEST:
         return [word] if len(word) > 2 else []
     return [word[i:i + LONGEST] for i in range(0, len(word) - LONGEST + STEP, STEP)]
@@ -153,7 +172,7 @@ class Reader:
             for ws in sentences:
                 hit = [f for w in ws if (f := known[w]) is not None]
                 if hit:
-                    rows.append(np.maximum.reduce(hit))
+                    rows.append(hit[0] if len(hit) == 1 else np.maximum.reduce(hit))
             out.append(np.array(rows) if rows else np.zeros((0, len(self.landmarks.words))))
         return out
 
@@ -162,31 +181,47 @@ class Reader:
 
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int) -> list[str]:
-    """Words and beginnings of words that tell toxic texts from others best, without close variants."""
-    seen = (Counter(), Counter())
+    """Words and beginnings of words that tell toxic texts from others best, without close variants.
+
+    A part counts for the toxic texts that hold fewer than four parts chosen before it, so copies of one text and
+    its chance words do not fill the list.
+    """
+    held, seen = [], (Counter(), Counter())
     for text, label in zip(texts, toxic):
         parts = set()
         for words in sentence_words(text):
             for word in words:
                 for w in bare(word):
-                    parts.update(w[:n] for n in range(4, min(len(w), 9) + 1))
+                    parts.update(w[:n] for n in range(4, min(len(w), 7) + 1))
                     parts.add(w)
         seen[int(label)].update(parts)
+        if label:
+            held.append(parts)
     n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
     scored = []
     for part, a in seen[1].items():
         b = seen[0][part]
         if a < 3:
             continue
-        p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-        scored.append(((np.log(p) - np.log(q)) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), part))
+        both = (a + b) / (n1 + n0)
+        clear = (a / n1 - b / n0) / np.sqrt(max(both * (1 - both), 1e-9) * (1 / n1 + 1 / n0))
+        if clear >= CLEAR:
+            scored.append((clear, part))
     scored.sort(key=lambda x: (-x[0], -len(x[1]), x[1]))
     chosen: list[str] = []
-    for score, part in scored:
-        if len(chosen) == count or score < 2:
+    open_ = [[parts, 0] for parts in held]
+    for _, part in scored:
+        if len(chosen) == count:
             break
-        if not any(part.startswith(c) or c.startswith(part) for c in chosen):
-            chosen.append(part)
+        if any(part.startswith(c) or c.startswith(part) for c in chosen):
+            continue
+        new = [x for x in open_ if part in x[0]]
+        if len(new) < max(3, 0.01 * n1):
+            continue
+        chosen.append(part)
+        for x in new:
+            x[1] += 1
+        open_ = [x for x in open_ if x[1] < 4]
     return chosen or ["...."]
 
 
@@ -253,7 +288,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = 40,
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, most: int = 1000) -> Model | None:
     """Fit on at most ``most`` toxic and ``most`` other labelled documents, picked by a digest of the id.
 
     Only labels of rows whose crc32(doc_id as text) mod 5 is not 0 are read. Rows without label or
