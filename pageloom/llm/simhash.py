@@ -257,10 +257,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     Exact copies are grouped first. Each different text gets a wide SimHash; posting lists are kept by
     blocks of byte positions. In every list with several members, each one is a candidate with the
-    member that meets most others over all its lists (in a group of edited copies that is the common
-    original) and with the smallest one. So a list gives at most two pairs for each member. A pair must
-    share ``least`` of the ``WIDE`` bytes in place (unrelated texts share four or five), and is then
-    verified on the texts: Jaccard similarity of their ``shingle``-word shingles.
+    member that meets most others over all its lists; in a group of edited copies that is the common
+    original. In a second round the members that this left outside the hub's group are candidates with
+    the best of them. So a list gives at most two pairs for each member. A pair must share ``least`` of the
+    ``WIDE`` bytes in place (unrelated texts share four or five), and is then verified on the texts: Jaccard
+    similarity of their ``shingle``-word shingles.
 
     ``doc_id`` identifies a document: rows that repeat it form one group. Null text is
     empty; empty texts are copies of each other. Ties go to the smaller ``doc_id``; a null ``doc_id``
@@ -274,21 +275,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     postings = index.select("node", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut_lineage(postings.join(shared, "key"), "postings")
-    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = cut_lineage(
-        met.join(weight, "node").groupBy("key")
-        .agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("top"), F.min("node").alias("low"))
-        .select("key", (-F.col("top.node")).alias("top"), "low"), "hubs")
-    candidates = (met.join(hubs, "key").selectExpr("node", "inline(array(struct(top AS hub), struct(low AS hub)))")
-                  .where("node <> hub").distinct())
+    weight = cut_lineage(met.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     prints = index.select("node", "print")
-    near = cut_lineage(_tally(candidates.join(prints, "node").join(
-        prints.select(F.col("node").alias("hub"), F.col("print").alias("hub_print")), "hub"), least), "pairs")
-    involved = near.selectExpr("inline(array(struct(node AS node), struct(hub AS node)))").distinct()
-    texts = cut_lineage(single.join(involved, "node", "left_semi"), "texts")
-    links = _verified(near.join(texts, "node").join(
-        texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub"), shingle, similarity)
-    roots = components(links)
+
+    def links(hubs: DataFrame, members: DataFrame) -> DataFrame:
+        """Verified links of the members of each list with its hub."""
+        pairs = members.join(hubs, "key").where("root <> hub_root").select("node", "hub").distinct()
+        near = cut_lineage(_tally(pairs.join(prints, "node").join(
+            prints.select(F.col("node").alias("hub"), F.col("print").alias("hub_print")), "hub"), least), "pairs")
+        involved = near.selectExpr("inline(array(struct(node AS node), struct(hub AS node)))").distinct()
+        texts = cut_lineage(single.join(involved, "node", "left_semi"), "texts")
+        return cut_lineage(_verified(near.join(texts, "node").join(
+            texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub"), shingle, similarity), "links")
+
+    def best(members: DataFrame) -> DataFrame:
+        """The member of each list that meets most others over all its lists."""
+        return (members.groupBy("key").agg(F.max(F.struct(
+            "weight", (-F.col("node")).alias("hub"), F.col("root").alias("hub_root"))).alias("top"))
+            .select("key", (-F.col("top.hub")).alias("hub"), F.col("top.hub_root").alias("hub_root")))
+
+    weighed = cut_lineage(met.join(weight, "node").select("key", "node", "weight", F.col("node").alias("root")), "postings")
+    hubs = cut_lineage(best(weighed), "hubs")
+    found = links(hubs, weighed)
+    roots = cut_lineage(components(found), "classes")
+    # What the first hubs left apart: each list's best member outside its hub's group is the next hub.
+    placed = roots.select("node", F.col("root").alias("placed"))
+    again = cut_lineage(weighed.join(placed, "node", "left").select(
+        "key", "node", "weight", F.coalesce("placed", "node").alias("root")), "postings")
+    hub_roots = hubs.select("key", "hub").join(placed.withColumnRenamed("node", "hub"), "hub", "left").select(
+        "key", F.coalesce("placed", "hub").alias("hub_root"))
+    apart = cut_lineage(again.join(hub_roots, "key").where("root <> hub_root").drop("hub_root"), "postings")
+    more = links(cut_lineage(best(apart), "hubs"), apart)
+    roots = components(found.unionAll(more))
     named = first.join(roots, "node", "left").select("h", "g", F.coalesce("root", "node").alias("component_id"))
     return keyed.select("doc_id", "h", "g").join(cut_lineage(named, "classes"), ["h", "g"]).select(
         "doc_id", "component_id")
