@@ -337,7 +337,9 @@ def test_sampling_rate_is_generalised_jaccard(spark):
     rng = np.random.default_rng(6)
     pairs, exact = [], []
     for k in range(150):
-        a, b = Counter(rng.choice(WORDS, 60).tolist()), Counter(rng.choice(WORDS[:12], 60).tolist())
+        # Words of its own for each pair: samples of one word are the same everywhere, so errors would not be independent.
+        own = [f"{w}{k}" for w in WORDS]
+        a, b = Counter(rng.choice(own, 60).tolist()), Counter(rng.choice(own[:12], 60).tolist())
         pairs += [(2 * k, " ".join(a.elements())), (2 * k + 1, " ".join(b.elements()))]
         exact.append((a & b).total() / (a | b).total())
     found = {r.doc_id: r.near_next for r in weighted.fingerprint_edits(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
