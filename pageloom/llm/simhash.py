@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -164,70 +162,109 @@ def similar_fingerprints(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -
 
 # ---- near duplicates by the shingles they share ----------------------------------------------------------
 
-WIDE, BLOCK, SPACE = 256, 4, 4096
+WIDE, COUNTERS, CHUNK = 256, 1 << 20, 4096
 
 
-@lru_cache(maxsize=1)
-def _spread() -> tuple[np.ndarray, np.ndarray]:
-    """A Hadamard matrix of 64 rows (its square spans the hashed space) and a random sign for each bucket."""
-    h = np.ones((1, 1), np.float32)
-    while len(h) < 64:
-        h = np.block([[h, h], [h, -h]])
-    return h, np.random.default_rng(10).choice(np.array([-1, 1], np.float32), SPACE)
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the text's runs of ``size`` words, sorted; one if it has fewer words or none."""
+    from xxhash import xxh64_intdigest
+
+    words = words_of(text)
+    each = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    runs = max(1, len(words) - size + 1)
+    h = np.full(runs, min(len(words), size), np.uint64)
+    for k in range(min(size, len(words))):
+        h = (h ^ each[k:k + runs]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(h ^ h >> np.uint64(32))
+
+
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64)
+
+
+def _frequencies(texts: DataFrame, size: int) -> np.ndarray:
+    """Shingles of the corpus in each of ``COUNTERS`` hash buckets: a table of fixed size."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(COUNTERS, np.int64)
+        for part in slices(batches):
+            found = [_counter(shingle_set(t, size)) for t in part.column("text").to_pylist()]
+            if found:
+                sums += np.bincount(np.concatenate(found), minlength=COUNTERS)
+        if sums.any():
+            yield pa.RecordBatch.from_arrays([
+                pa.array(range(COUNTERS // CHUNK), pa.int32()),
+                pa.array([c.tobytes() for c in sums.astype(np.uint32).reshape(-1, CHUNK)], pa.binary())],
+                names=["chunk", "sums"])
+
+    def merge(frame):
+        total = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in frame["sums"])
+        return frame[:1].assign(sums=[np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()])
+
+    rows = (texts.select("text").mapInArrow(count, "chunk int, sums binary")
+            .groupBy("chunk").applyInPandas(merge, "chunk int, sums binary").collect())
+    out = np.zeros(COUNTERS, np.uint32)
+    for r in rows:
+        out[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(r.sums, np.uint32)
+    return out
+
+
+def apart_at_most(a, b, similarity: float):
+    """Largest symmetric difference of sets of ``a`` and ``b`` members that have this Jaccard similarity."""
+    return (1 - similarity) / (1 + similarity) * (a + b) + 1e-6
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """Parity of the members in each of ``8 * WIDE`` buckets; sets differ in at least as many members as bits."""
+    odd = np.bincount((hashes & np.uint64(8 * WIDE - 1)).astype(np.int64), minlength=8 * WIDE) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
 
 
-def wide_prints(texts: list[str | None]) -> np.ndarray:
-    """SimHash of ``WIDE`` bytes over the distinct words and word pairs of each text.
+def prefix(hashes: np.ndarray, frequency: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest members of a set, so many that a set of at least this Jaccard similarity has one of them in its own.
 
-    Features are hashed with a sign into ``SPACE`` buckets, and the bits are the signs of a randomised
-    Hadamard transform of the buckets, which stands for as many random hyperplanes.
+    At least ``similarity * n`` of the n members are shared, so the first shared one, in one order for all
+    sets, is among the first n - ceil(similarity * n) + 1 of both. Any order will do; rare first keeps lists short.
     """
-    h, sign = _spread()
-    vectors = np.zeros((len(texts), SPACE), np.float32)
-    for k, text in enumerate(texts):
-        words = words_of(text)
-        if not words:
-            continue
-        one = np.fromiter(map(crc32, words), np.uint64, len(words))
-        two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
-        features = np.unique(np.concatenate([one * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(19), two]))
-        vectors[k] = np.bincount((features & np.uint64(SPACE - 1)).astype(np.int64),
-                                 1.0 - 2.0 * ((features >> np.uint64(12)) & np.uint64(1)), SPACE)
-    cube = (vectors * sign).reshape(-1, 64, 64)
-    turned = np.matmul(np.matmul(h, cube), h).reshape(len(texts), SPACE)
-    return np.packbits(turned[:, :WIDE * 8] > 0, axis=1)
-
-
-def _wide_index(texts: DataFrame) -> DataFrame:
-    """node, wide print and the keys of its posting lists: block of positions and the bytes there."""
-    schema = pa.schema([("node", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64()))])
-    blocks = WIDE // BLOCK
+    keep = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1
+    return hashes[np.argsort(frequency[_counter(hashes)], kind="stable")[:keep]]
+
+
+def _shingle_index(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """node, number of shingles, parity print and the keys of its posting lists."""
+    frequency = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, size))
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, rows=128):
-            prints = wide_prints(part.column("text").to_pylist())
-            keys = prints.reshape(-1, blocks, BLOCK).copy().view("<u4").reshape(-1, blocks).astype(np.int64)
-            keys |= np.arange(blocks, dtype=np.int64) << 32
+            sets = [shingle_set(t, size) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                part.column("node"), pa.array([p.tobytes() for p in prints], pa.binary()),
-                pa.array(list(keys), pa.list_(pa.int64()))], schema=schema)
+                part.column("node"), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([parity(s) for s in sets], pa.binary()),
+                pa.array([prefix(s, frequency.value, similarity).view(np.int64) for s in sets],
+                         pa.list_(pa.int64()))], schema=schema)
+
+    return texts.mapInArrow(of, "node long, n long, print binary, keys array<long>")
+
 
-    return texts.mapInArrow(of, "node long, print binary, keys array<long>")
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE // 8)
 
 
-def _tally(pairs: DataFrame, least: int) -> DataFrame:
-    """Pairs whose wide prints have at least ``least`` bytes in common, position by position."""
+def _tally(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose parity prints do not rule out the similarity."""
     schema = pa.schema([("node", pa.int64()), ("hub", pa.int64())])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, rows=4000):
-            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, WIDE)
-                    for c in ("print", "hub_print"))
-            hit = pa.array((a == b).sum(1) >= least)
+            a, b = (_prints(part.column(c)) for c in ("print", "hub_print"))
+            n, m = (part.column(c).to_numpy(zero_copy_only=False) for c in ("n", "hub_n"))
+            hit = pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= apart_at_most(n, m, similarity))
             yield pa.RecordBatch.from_arrays([part.column("node").filter(hit), part.column("hub").filter(hit)],
                                              schema=schema)
 
-    return pairs.select("node", "hub", "print", "hub_print").mapInArrow(kept, "node long, hub long")
+    return pairs.select("node", "hub", "n", "hub_n", "print", "hub_print").mapInArrow(kept, "node long, hub long")
 
 
 def _verified(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -252,16 +289,15 @@ def _verified(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return pairs.select("node", "hub", "text", "hub_text").mapInArrow(kept, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, least: int = 40) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id`` and ``component_id`` (smallest ``doc_id`` of its group) of every document.
 
-    Exact copies are grouped first. Each different text gets a wide SimHash; posting lists are kept by
-    blocks of byte positions. In every list with several members, each one is a candidate with the
-    member that meets most others over all its lists; in a group of edited copies that is the common
-    original. In a second round the members that this left outside the hub's group are candidates with
-    the best of them. So a list gives at most two pairs for each member. A pair must share ``least`` of the
-    ``WIDE`` bytes in place (unrelated texts share four or five), and is then verified on the texts: Jaccard
-    similarity of their ``shingle``-word shingles.
+    Groups are the components of all pairs of texts whose sets of ``shingle``-word shingles have at least that
+    Jaccard similarity. Exact copies are grouped first. Each different text is kept in the posting lists of its
+    rarest shingles, so many that every such pair meets in a list (``prefix``); lists with the same members are
+    one. In two rounds the members of a list are candidates with one hub, the member outside the last hub's
+    group that meets most others: in a group of edited copies that is the common original, and it spares the pairs
+    inside the group. Candidates that parity prints do not rule out are verified on the texts.
 
     ``doc_id`` identifies a document: rows that repeat it form one group. Null text is
     empty; empty texts are copies of each other. Ties go to the smaller ``doc_id``; a null ``doc_id``
@@ -270,43 +306,54 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(
         {"h": F.xxhash64("text"), "g": F.xxhash64(F.lit(7), "text")})
     first = cut_lineage(keyed.groupBy("h", "g").agg(F.min("doc_id").alias("node")), "texts")
-    single = keyed.join(first, ["h", "g"]).where("doc_id = node").select("node", "text")
-    index = cut_lineage(_wide_index(single), "prints")
+    single = cut_lineage(keyed.join(first, ["h", "g"]).where("doc_id = node").select("node", "text"), "texts")
+    index = cut_lineage(_shingle_index(single, shingle, similarity), "prints")
     postings = index.select("node", F.explode("keys").alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut_lineage(postings.join(shared, "key"), "postings")
-    weight = cut_lineage(met.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    prints = index.select("node", "print")
-
-    def links(hubs: DataFrame, members: DataFrame) -> DataFrame:
-        """Verified links of the members of each list with its hub."""
-        pairs = members.join(hubs, "key").where("root <> hub_root").select("node", "hub").distinct()
-        near = cut_lineage(_tally(pairs.join(prints, "node").join(
-            prints.select(F.col("node").alias("hub"), F.col("print").alias("hub_print")), "hub"), least), "pairs")
+    shared = postings.groupBy("key").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("a"),
+        F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("b")).where("size > 1")
+    lists = cut_lineage(shared.groupBy("size", "a", "b").agg(F.min("key").alias("key")), "lists")
+    met = cut_lineage(postings.join(lists.select("key", "size"), "key"), "postings")
+    weight = cut_lineage(met.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    prints = index.select("node", "n", "print")
+
+    def verified(near: DataFrame) -> DataFrame:
+        """Those of the pairs whose texts are alike."""
         involved = near.selectExpr("inline(array(struct(node AS node), struct(hub AS node)))").distinct()
         texts = cut_lineage(single.join(involved, "node", "left_semi"), "texts")
         return cut_lineage(_verified(near.join(texts, "node").join(
             texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub"), shingle, similarity), "links")
 
+    def links(hubs: DataFrame, members: DataFrame) -> DataFrame:
+        """Verified links of the members of each list with its hub."""
+        pairs = members.join(hubs, "key").where("root <> hub_root").select("node", "hub").distinct()
+        hub_prints = prints.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("print").alias("hub_print"))
+        return verified(cut_lineage(_tally(pairs.join(prints, "node").join(hub_prints, "hub"), similarity), "pairs"))
+
     def best(members: DataFrame) -> DataFrame:
         """The member of each list that meets most others over all its lists."""
         return (members.groupBy("key").agg(F.max(F.struct(
             "weight", (-F.col("node")).alias("hub"), F.col("root").alias("hub_root"))).alias("top"))
             .select("key", (-F.col("top.hub")).alias("hub"), F.col("top.hub_root").alias("hub_root")))
 
+    def placed_in(members: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members with the groups found so far as their roots."""
+        placed = roots.select("node", F.col("root").alias("placed"))
+        return members.drop("root").join(placed, "node", "left").withColumn(
+            "root", F.coalesce("placed", "node")).drop("placed")
+
     weighed = cut_lineage(met.join(weight, "node").select("key", "node", "weight", F.col("node").alias("root")), "postings")
     hubs = cut_lineage(best(weighed), "hubs")
     found = links(hubs, weighed)
     roots = cut_lineage(components(found), "classes")
     # What the first hubs left apart: each list's best member outside its hub's group is the next hub.
-    placed = roots.select("node", F.col("root").alias("placed"))
-    again = cut_lineage(weighed.join(placed, "node", "left").select(
-        "key", "node", "weight", F.coalesce("placed", "node").alias("root")), "postings")
-    hub_roots = hubs.select("key", "hub").join(placed.withColumnRenamed("node", "hub"), "hub", "left").select(
+    again = cut_lineage(placed_in(weighed, roots), "postings")
+    placed = roots.select(F.col("node").alias("hub"), F.col("root").alias("placed"))
+    hub_roots = hubs.select("key", "hub").join(placed, "hub", "left").select(
         "key", F.coalesce("placed", "hub").alias("hub_root"))
     apart = cut_lineage(again.join(hub_roots, "key").where("root <> hub_root").drop("hub_root"), "postings")
-    more = links(cut_lineage(best(apart), "hubs"), apart)
-    roots = components(found.unionAll(more))
+    found = found.unionAll(links(cut_lineage(best(apart), "hubs"), apart))
+    roots = components(found)
     named = first.join(roots, "node", "left").select("h", "g", F.coalesce("root", "node").alias("component_id"))
     return keyed.select("doc_id", "h", "g").join(cut_lineage(named, "classes"), ["h", "g"]).select(
         "doc_id", "component_id")

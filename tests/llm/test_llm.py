@@ -312,6 +312,31 @@ def test_near_duplicates(spark, docs, empty):
     assert simhash.near_duplicates(docs).count() == docs.count()
 
 
+def brute_near(texts):
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return links, dict(enumerate(root))
+
+
+def test_near_duplicates_with_blocks_added_and_replaced(spark):
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n).tolist()]
+    texts = []
+    for similarity in np.arange(0.78, 0.91, 0.01):
+        for n in (60, 300, 900):
+            one = words(n)
+            added, changed = round(n * (1 / similarity - 1)), round(n * (1 - similarity) / (1 + similarity))
+            texts += [one, one + words(added), words(changed) + one[changed:]]
+    links, expected = brute_near(texts := [" ".join(t) for t in texts])
+    assert len(links) > 60
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == expected
+
+
 def test_weighted_sampling(docs, empty, rows):
     found = weighted.fingerprint_edits(docs).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
