@@ -162,7 +162,7 @@ def similar_fingerprints(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -
 
 # ---- near duplicates by the shingles they share ----------------------------------------------------------
 
-WIDE, COUNTERS, CHUNK = 256, 1 << 20, 4096
+WIDE, COUNTERS, CHUNK, TILE = 256, 1 << 20, 4096, 1000
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -267,6 +267,34 @@ def _tally(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("node", "hub", "n", "hub_n", "print", "hub_print").mapInArrow(kept, "node long, hub long")
 
 
+def _tally_tiles(tiles: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members (side, node, root, n, print) of a list with other roots that their prints do not rule out.
+
+    With members of two sides only pairs across the sides are taken; the others are in the tiles of one side.
+    """
+    schema = pa.schema([("node", pa.int64()), ("hub", pa.int64())])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, rows=100):
+            for members, across in zip(part.column("members"), part.column("across").to_pylist()):
+                m = members.values
+                side, node, root, n = (m.field(c).to_numpy(zero_copy_only=False) for c in ("side", "node", "root", "n"))
+                prints = _prints(m.field("print"))
+                for k in range(len(node) - 1):
+                    near = np.abs(n[k + 1:] - n[k]) <= apart_at_most(n[k + 1:], n[k], similarity)
+                    near &= root[k + 1:] != root[k]
+                    if across:
+                        near &= side[k + 1:] != side[k]
+                    at = np.flatnonzero(near) + k + 1
+                    at = at[np.bitwise_count(prints[at] ^ prints[k]).sum(1, dtype=np.int64)
+                            <= apart_at_most(n[at], n[k], similarity)]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.maximum(node[at], node[k])), pa.array(np.minimum(node[at], node[k]))], schema=schema)
+
+    return tiles.select("members", "across").mapInArrow(kept, "node long, hub long")
+
+
 def _verified(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs of texts whose sets of word shingles have at least that Jaccard similarity."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
@@ -297,7 +325,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     rarest shingles, so many that every such pair meets in a list (``prefix``); lists with the same members are
     one. In two rounds the members of a list are candidates with one hub, the member outside the last hub's
     group that meets most others: in a group of edited copies that is the common original, and it spares the pairs
-    inside the group. Candidates that parity prints do not rule out are verified on the texts.
+    inside the group. Then in every list with more than one group left, all pairs across its groups are
+    candidates, in tiles of bounded size. Candidates that parity prints do not rule out are verified on the texts.
 
     ``doc_id`` identifies a document: rows that repeat it form one group. Null text is
     empty; empty texts are copies of each other. Ties go to the smaller ``doc_id``; a null ``doc_id``
@@ -353,7 +382,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         "key", F.coalesce("placed", "hub").alias("hub_root"))
     apart = cut_lineage(again.join(hub_roots, "key").where("root <> hub_root").drop("hub_root"), "postings")
     found = found.unionAll(links(cut_lineage(best(apart), "hubs"), apart))
-    roots = components(found)
+    roots = cut_lineage(components(found), "classes")
+    # What is still apart: all pairs across the groups of a list. Lists of one group or of two members are done.
+    again = cut_lineage(placed_in(again, roots), "postings")
+    open_lists = again.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).where(
+        "size > 2 AND a <> b").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    side = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    left = again.join(cut_lineage(open_lists, "lists"), "key").join(prints, "node").select(
+        "key", "node", "root", "n", "print", side.alias("side"),
+        F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    tiles = left.groupBy("key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q")).agg(
+        F.collect_list(F.struct("side", "node", "root", "n", "print")).alias("members")).withColumn("across", F.expr("p < q"))
+    near = cut_lineage(_tally_tiles(tiles, similarity).distinct(), "pairs")
+    roots = components(found.unionAll(verified(near)))
     named = first.join(roots, "node", "left").select("h", "g", F.coalesce("root", "node").alias("component_id"))
     return keyed.select("doc_id", "h", "g").join(cut_lineage(named, "classes"), ["h", "g"]).select(
         "doc_id", "component_id")

@@ -337,6 +337,22 @@ def test_near_duplicates_with_blocks_added_and_replaced(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == expected
 
 
+def test_near_duplicates_unlike_their_hubs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 7)
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n).tolist()]
+    texts = []
+    for n in (30, 40, 45):  # many small groups on one shared template, apart from each other and from it
+        template = words(200)
+        texts.append(template)
+        for _ in range(8):
+            own = words(n)
+            texts += [template + own, template + own[:-4] + words(4), template + own[:-6] + words(6)]
+    links, expected = brute_near(texts := [" ".join(t) for t in texts])
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == expected
+
+
 def test_weighted_sampling(docs, empty, rows):
     found = weighted.fingerprint_edits(docs).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
