@@ -15,7 +15,7 @@ from pageloom.llm.frames import slices, table
 from pageloom.session import cut_lineage
 
 KEY = b"corpus surrogates"
-ROUNDS = 12
+LIMIT = 100
 
 _EMAIL = re.compile(r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _ADDRESS = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)")
@@ -125,7 +125,7 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         return out
     starts, middles, ends = _NAMES[script_of(entity)]
     pick = lambda xs: xs[next(bytes_) % len(xs)]
-    return (pick(starts) + "".join(pick(middles) for _ in range(1 + attempt // 4)) + pick(ends[kind[-1]])).lower()
+    return (pick(starts) + "".join(pick(middles) for _ in range(1 + attempt)) + pick(ends[kind[-1]])).lower()
 
 
 def luhn(digits: str) -> bool:
@@ -170,8 +170,10 @@ def assign(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
 
     In every round surrogates are made from the key, and each one that several entities of a kind would
     get, or that is itself an entity of that kind, is left to the smallest entity (in the second case to none);
-    the others try again. Names come from short lists, so only their full surrogate counts. Entities are
-    grouped by surrogate with partial aggregation; a round that finds no collision is the last.
+    the others try again. Names come from short lists, so only their full surrogate counts, and each attempt
+    adds a syllable, so there are ten times as many (nine in Cyrillic). Entities are grouped by surrogate with
+    partial aggregation; a round that finds no collision is the last. Numbers keep their length: if one length
+    has more entities than free values, that is an error after ``LIMIT`` rounds, never a shared surrogate.
     """
     @F.pandas_udf("string")
     def made(kind, entity, attempt):
@@ -180,7 +182,7 @@ def assign(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
         return pd.Series([surrogate(k, e, int(a), key) for k, e, a in zip(kind, entity, attempt)])
 
     now = distinct.select("kind", "entity", F.lit(0).alias("attempt"))
-    for _ in range(ROUNDS):
+    for _ in range(LIMIT):
         tried = cut_lineage(now.withColumn("value", made("kind", "entity", "attempt")), "surrogates")
         keepers = tried.groupBy("kind", "value").agg(F.min("entity").alias("keeper"), F.count("*").alias("n"))
         taken = distinct.select("kind", F.col("entity").alias("value"), F.lit(True).alias("real"))
@@ -189,11 +191,11 @@ def assign(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
             F.lit(True).alias("clash"))
         clash = cut_lineage(clash, "surrogates")
         if clash.isEmpty():
-            break
+            return tried.where("attempt > 0").select("kind", "entity", "attempt")
         now = tried.join(clash, ["kind", "value"], "left").select(
             "kind", "entity", F.when(F.col("clash") & ~F.col("entity").eqNullSafe(F.col("keeper")),
                                      F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
-    return tried.where("attempt > 0").select("kind", "entity", "attempt")
+    raise ValueError(f"surrogates still collide after {LIMIT} rounds: too few values of some form for its entities")
 
 
 def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:

@@ -473,6 +473,16 @@ def test_surrogates_stay_distinct(spark):
     assert not {next(iter(v)) for v in found.values()} & set(names)
 
 
+def test_many_more_names_than_the_first_lists_hold(spark):
+    ab = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("name-s", f"{a}{b}{c}x") for a in ab for b in ab for c in ab]
+    rows += [("name-f", f"{chr(1072 + i % 32)}{chr(1072 + i // 32 % 32)}{chr(1072 + i // 1024)}ж") for i in range(8000)]
+    attempts = {(r.kind, r.entity): r.attempt for r in surrogates.assign(
+        spark.createDataFrame(rows, "kind string, entity string")).collect()}
+    made = {(k, surrogates.surrogate(k, e, attempts.get((k, e), 0))) for k, e in rows}
+    assert len(made) == len(rows) and not made & set(rows)
+
+
 def test_licences(spark, empty):
     mit = licences.TEMPLATES["MIT"]
     texts = {
