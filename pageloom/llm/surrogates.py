@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,19 +22,23 @@ _EMAIL = re.compile(r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _ADDRESS = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])(?:\d{2,4}[ .-]){0,3}\d{2,4}(?![\w-]*\w)")
+_ABROAD = re.compile(r"(?<![\w.+-])\+\d(?:[ .-]?\d){6,14}(?![\w-]*\w)")
 _NUMBER = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){8,18}(?![\w-]*\w)")
-_TITLE = re.compile(r"\b(Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Г-н|Г-жа)\.? "
+_TITLE = re.compile(r"\b(Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Dr|Prof|Г-н|Г-жа)\.? (?:(?:Dr|Prof)\.? )*"
                     r"([^\W\d_]+(?:[-'][^\W\d_]+)?)(?: ([^\W\d_]+(?:[-'][^\W\d_]+)?))?")
 
+_MENTION = re.compile(r"(?<![^\W_])(?<![^\W_]-)[^\W\d_]+(?:-[^\W\d_]+|'(?!s\b)[^\W\d_]+)*(?!-?[^\W_])")
+
 # Titles by gender, and the parts of which names are made, by script.
+_ACADEMIC = {"Dr", "Prof"}
 _FEMALE = {"Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа"}
 _NAMES = {
     "latin": (("Al", "Be", "Co", "Da", "El", "Fa", "Ga", "Ha", "Jo", "Ka", "Li", "Ma", "Ni", "Ro", "Sa", "To"),
               ("bri", "den", "lan", "mar", "nel", "ran", "ric", "ser", "vin", "wen"),
-              {"f": ("a", "ia", "ine", "elle"), "m": ("o", "us", "ert", "as"), "s": ("er", "son", "mann", "ley", "ard")}),
+              {"f": ("a", "ia", "ine", "elle"), "m": ("o", "us", "ert", "as"), "n": ("i", "is", "en"), "s": ("er", "son", "mann", "ley", "ard")}),
     "cyrillic": (("Ал", "Бо", "Ва", "Да", "Ер", "Ива", "Ка", "Ма", "Ни", "Ро", "Се", "Та"),
                  ("бри", "дан", "лан", "мар", "нел", "ран", "сел", "тин", "вен"),
-                 {"f": ("а", "ия", "ина"), "m": ("", "ий", "ей"), "s": ("ов", "ин", "енко", "ский")}),
+                 {"f": ("а", "ия", "ина"), "m": ("", "ий", "ей"), "n": ("и", "ли"), "s": ("ов", "ин", "енко", "ский")}),
 }
 
 
@@ -83,16 +88,26 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         for m in _ADDRESS.finditer(text):
             if all(int(x) < 256 for x in m[0].split(".")):
                 add("ipv4", *m.span())
-        for kind, pattern in (("phone", _PHONE), ("number", _NUMBER)):
+        for kind, pattern in (("phone", _PHONE), ("phone", _ABROAD), ("number", _NUMBER)):
             for m in pattern.finditer(text):
                 if 7 <= sum(c.isdigit() for c in m[0]) <= 19:
                     add(kind, *m.span())
+    names: dict[str, str] = {}
     for m in _TITLE.finditer(text):
-        gender = "f" if m[1] in _FEMALE else "m"
+        gender = "f" if m[1] in _FEMALE else "n" if m[1] in _ACADEMIC else "m"
         words = [i for i in (2, 3) if m[i] and m[i][0].isupper() and script_of(m[i]) != "other"]
         if words and words[0] == 2:
             for i in words:  # a lone word after a title is a family name
-                add("name-s" if i == words[-1] else f"name-{gender}", *m.span(i))
+                kind, end = "name-s" if i == words[-1] else f"name-{gender}", m.end(i) - 2 * m[i].endswith("'s")
+                add(kind, m.start(i), end)
+                names.setdefault(canonical(kind, text[m.start(i):end]), kind)
+    if names:  # further mentions, without a title
+        taken = sorted((a, b) for a, b, _, _ in out)
+        for m in _MENTION.finditer(text):
+            if m[0][0].isupper() and (kind := names.get(canonical("name", m[0]))):
+                at = bisect_left(taken, m.span())
+                if (at == 0 or taken[at - 1][1] <= m.start()) and (at == len(taken) or taken[at][0] >= m.end()):
+                    out.append((*m.span(), kind, canonical(kind, m[0])))
     return sorted(out)
 
 
@@ -202,7 +217,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """``doc_id``, ``text`` with surrogates, and ``n_entities`` of every row.
 
     E-mail and IPv4 addresses, IBANs, telephone and long numbers are found by form, and personal names by
-    their title. A surrogate is derived from the key and the canonical form, so all mentions of an
+    their title; further capitalised whole words equal to a name found in the same text are mentions of it. A surrogate is derived from the key and the canonical form, so all mentions of an
     entity, in any document and form, get the same one; it keeps kind, separators, capitals, script, and a
     name's gender and the check digits of numbers that have them. Collisions are searched over the distinct
     entities of the whole corpus; the few that try again are joined to the texts that mention them.

@@ -483,6 +483,17 @@ def test_many_more_names_than_the_first_lists_hold(spark):
     assert len(made) == len(rows) and not made & set(rows)
 
 
+def test_surrogates_of_bare_numbers_and_later_mentions():
+    for phone in ("+14155550123", "+4915112345678", "+49 15112345678"):
+        text = f"call {phone} now"
+        assert [(text[a:b], k) for a, b, k, _ in surrogates.entities(text)] == [(phone, "phone")]
+    text = "Smith-Jones and Smithers met Mr John Smith's friend. SMITH said: John Smith, smith. Prof. Dr. Ada Byron; Byron's"
+    found = [(text[a:b], k, e) for a, b, k, e in surrogates.entities(text)]
+    assert found == [("John", "name-m", "john"), ("Smith", "name-s", "smith"), ("SMITH", "name-s", "smith"),
+                     ("John", "name-m", "john"), ("Smith", "name-s", "smith"), ("Ada", "name-n", "ada"),
+                     ("Byron", "name-s", "byron"), ("Byron", "name-s", "byron")]
+
+
 def test_licences(spark, empty):
     mit = licences.TEMPLATES["MIT"]
     texts = {
