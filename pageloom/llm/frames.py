@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,9 +27,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, chars: int = 4_00
             at += n
 
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def small(frame: DataFrame) -> DataFrame:
-    """Broadcast a written narrow table of at most ``BROADCAST_ROWS`` rows; a larger one is joined by shuffle."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+    """Broadcast a written table of flat columns that takes at most ``BROADCAST_BYTES``; join a larger one by shuffle."""
+    texts = [F.octet_length(f"`{f.name}`") for f in frame.schema if isinstance(f.dataType, StringType)]
+    row = F.lit(16 * len(frame.columns)).cast("long")
+    size = frame.agg(F.coalesce(F.sum(sum([F.coalesce(t, F.lit(0)) for t in texts], row)), F.lit(0))).first()[0]
+    return F.broadcast(frame) if size <= BROADCAST_BYTES else frame

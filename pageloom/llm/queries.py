@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pageloom.llm import (
-    boilerplate, idfiles, licences, packing, simhash, structural, surrogates, toxicity, weighted, winnow,
+    boilerplate, idfiles, licences, mixing, packing, simhash, structural, surrogates, toxicity, variants, weighted,
+    whitening, winnow,
 )
 
 QUERIES = {
@@ -17,9 +18,13 @@ QUERIES = {
     "op8_string_kernel_toxicity": toxicity.toxic_documents,
     "op9_weighted_sampling": weighted.weighted_fingerprints,
     "op10_simhash": simhash.simhash_components,
+    "op11_source_mix": mixing.source_mix,
+    "op12_whitening": whitening.whitened_embeddings,
+    "op13_spelling_variants": variants.vocabulary_variants,
 }
 
 CHECK_SQL = {
     "op5_winnowing": winnow.LEAKS_SQL,
     "op6_site_lines": boilerplate.SITE_LINES_SQL,
+    "op11_source_mix": mixing.SOURCE_MIX_SQL,
 }
