@@ -71,15 +71,17 @@ def closed_sql(html: str) -> str:
 
     An element ends at its own end tag, at a start tag that it cannot contain, or with its parent,
     whichever comes first; styling elements are passed on as they are. The tags are gone through once with the
-    open elements as the state. What has been written is kept in pieces of a few hundred tags,
-    so the work grows with the page and not with its square.
+    open elements as the state; only the places where end tags are missing or superfluous are noted, in blocks of
+    a few hundred, and the text between two of them is taken over as a whole. So the work grows with the page and not with
+    its square.
     """
     # r: open elements, innermost first; the value is how many of them end before the tag.
     cut = "CASE WHEN get(r, 0) = 'head' AND x.n NOT IN (" + _names(IN_HEAD) + ") THEN 1"
     for starts, ended, shields in ENDED_BY:
         shield = f"coalesce(nullif(array_position(transform(r, m -> m IN ({_names(shields)})), true), 0) - 1, size(r))"
         within = f"slice(r, 1, CAST({shield} AS INT))" if shields else "r"
-        cut += (f" WHEN x.n IN ({_names(starts)}) THEN coalesce(array_max(transform({within}, "
+        one_open = " OR ".join(f"array_contains(r, '{n}')" for n in ended)
+        cut += (f" WHEN x.n IN ({_names(starts)}) AND ({one_open}) THEN coalesce(array_max(transform({within}, "
                 f"(m, i) -> if(m IN ({_names(ended)}), i + 1, 0))), 0)")
     cut += " ELSE 0 END"
     own = "array_position(r, x.n)"
@@ -87,24 +89,37 @@ def closed_sql(html: str) -> str:
     found = f"if(x.n IN ({_names(IN_TABLE)}) OR {guard} = 0 OR {own} <= {guard}, {own}, 0)"
     ends = "array_join(transform({0}, m -> concat('</', m, '>')), '')"
 
-    def step(stack: str, piece: str) -> str:
-        return (f"named_struct('open', {stack}, 'now', if(size(s.now) < {_STEPS}, array_append(s.now, {piece}), array({piece})), "
-                f"'done', if(size(s.now) < {_STEPS}, s.done, array_append(s.done, array_join(s.now, ''))))")
+    def step(stack: str, ended: str, drop: str) -> str:
+        note = f"named_struct('i', x.i, 'ends', {ended}, 'drop', {drop})"
+        return (f"named_struct('open', {stack}, 'now', if(size(s.now) < {_STEPS}, array_append(s.now, {note}), array({note})), "
+                f"'done', if(size(s.now) < {_STEPS}, s.done, array_append(s.done, s.now)))")
+
+    def plain(stack: str) -> str:
+        return f"named_struct('open', {stack}, 'now', s.now, 'done', s.done)"
 
     rest = "slice(r, CAST(k AS INT) + 1, size(r))"
-    close = step(rest, f"if(k = 0, '', concat({ends.format('slice(r, 1, CAST(k AS INT) - 1)')}, x.t))")
-    start = step(f"if(x.n IN ({_names(VOID)}), {rest}, array_prepend({rest}, x.n))",
-                 f"concat({ends.format('slice(r, 1, CAST(k AS INT))')}, x.t)")
-    kept = step("s.open", "x.t")
+    opened = f"if(x.n IN ({_names(VOID)}), {{0}}, array_prepend({{0}}, x.n))"
+    close = (f"CASE WHEN k = 1 THEN {plain(rest)} WHEN k = 0 THEN {step('r', repr(''), 'true')} "
+             f"ELSE {step(rest, ends.format('slice(r, 1, CAST(k AS INT) - 1)'), 'false')} END")
+    start = (f"if(k = 0, {plain(opened.format('r'))}, "
+             f"{step(opened.format(rest), ends.format('slice(r, 1, CAST(k AS INT))'), 'false')})")
     bound = "get(transform(array(s.open), r -> get(transform(array({0}), k -> {1}), 0)), 0)"
-    merge = (f"CASE WHEN x.n = '' OR x.n IN ({_names(STYLING)}) THEN {kept} "
-             f"WHEN startswith(x.t, '</') THEN {bound.format(found, close)} ELSE {bound.format(f'CAST({cut} AS BIGINT)', start)} END")
-    tokens = (f"transform(regexp_extract_all({html}, {sql_text(TOKEN)}, 0), t -> named_struct('t', t, "
-              r"'n', lower(regexp_extract(t, r'^</?([a-zA-Z][^\s/>]*)', 1))))")
-    zero = ("named_struct('open', CAST(array() AS array<string>), 'now', CAST(array() AS array<string>), "
-            "'done', CAST(array() AS array<string>))")
-    return (f"aggregate({tokens}, {zero}, (s, x) -> {merge}, s -> concat(array_join(s.done, ''), "
-            f"array_join(s.now, ''), {ends.format('s.open')}))")
+    merge = (f"CASE WHEN x.e THEN {bound.format(f'CAST({found} AS BIGINT)', close)} "
+             f"ELSE {bound.format(f'CAST({cut} AS BIGINT)', start)} END")
+    tags = (r"filter(transform(tok, (t, i) -> if(startswith(t, '<'), named_struct('i', i, 'e', startswith(t, '</'), "
+            r"'n', lower(regexp_extract(t, r'^</?([a-zA-Z][^\s/>]*)', 1))), NULL)), "
+            f"x -> x.n != '' AND x.n NOT IN ({_names(STYLING)}))")
+    notes = "array<struct<i:int,ends:string,drop:boolean>>"
+    zero = (f"named_struct('open', CAST(array() AS array<string>), 'now', CAST(array() AS {notes}), "
+            f"'done', CAST(array() AS array<{notes}>))")
+    walked = f"aggregate({tags}, {zero}, (s, x) -> {merge}, s -> named_struct('open', s.open, 'at', concat(flatten(s.done), s.now)))"
+    # Tokens from behind one noted place up to the next are taken as they are.
+    pieces = ("transform(w.at, (a, j) -> concat(array_join(slice(tok, if(j = 0, 0, get(w.at, j - 1).i + 1) + 1, "
+              "a.i - if(j = 0, 0, get(w.at, j - 1).i + 1)), ''), a.ends, if(a.drop, '', get(tok, a.i))))")
+    tail = "array_join(slice(tok, coalesce(get(w.at, size(w.at) - 1).i + 1, 0) + 1, size(tok)), '')"
+    built = f"concat(array_join({pieces}, ''), {tail}, {ends.format('w.open')})"
+    return (f"get(transform(array(regexp_extract_all({html}, {sql_text(TOKEN)}, 0)), "
+            f"tok -> get(transform(array({walked}), w -> {built}), 0)), 0)")
 
 
 def close_elements(html: Column) -> Column:
@@ -129,7 +144,7 @@ def attributes_sql(token: str) -> str:
     return (
         f"transform(regexp_extract_all({token}, {match}, 0), a -> named_struct("
         r"'name', lower(regexp_extract(a, r'^([^\s=]+)', 1)), "
-        f"'value', get(transform(array({value}), v -> {decode_sql('v')}), 0)))"
+        f"'value', get(transform(array({value}), v -> {decode_sql('v', attribute=True)}), 0)))"
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 from html.entities import html5
+from zlib import crc32
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -98,20 +99,22 @@ def round_to_int(value: Column) -> Column:
     return F.bround(F.round(value, 6), 0).cast("int")
 
 
-# Separators of the entity table below; control characters cannot be references.
-_KEY, _END = "\x02", "\x03"
+# Separators of the table below; control characters cannot be part of a reference.
+_KEY, _END, _NEXT = "\x02", "\x03", "\x04"
+_BUCKETS = 1024
 
 
 @lru_cache(maxsize=1)
-def _entity_table() -> str:
-    """All named references in one literal, ``KEY name ; END value KEY …``.
+def _reference_table() -> str:
+    """All named references as a literal hash table: buckets of ``KEY &name; END value KEY``, by crc32.
 
-    One string keeps plans small; a map literal would add hundreds of nodes to
-    every expression that decodes text.
+    Splitting it is constant, so a look-up reads the two or three names of one bucket. A map literal would add
+    thousands of nodes to every expression that decodes text.
     """
-    first = ["amp", "quot", "lt", "gt", "nbsp", "apos", "copy", "middot"]
-    names = [f"{n};" for n in first] + sorted(n for n in html5 if n.removesuffix(";") not in first or not n.endswith(";"))
-    return _KEY + _KEY.join(f"&{n}{_END}{html5[n]}" for n in names) + _KEY
+    buckets = [""] * _BUCKETS
+    for name, value in sorted(html5.items()):
+        buckets[crc32(f"&{name}".encode()) % _BUCKETS] += f"{_KEY}&{name}{_END}{value}"
+    return _NEXT.join(b + _KEY for b in buckets)
 
 
 @lru_cache(maxsize=1)
@@ -120,19 +123,24 @@ def _bare_names() -> str:
     return "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 
 
-def decode_sql(x: str) -> str:
+def decode_sql(x: str, attribute: bool = False) -> str:
     """SQL that decodes character references in the bound name ``x``.
 
-    Text without references and text whose only reference is ``&amp;`` stay on
-    plain string functions; only the rest is cut into pieces.
+    The longest name that fits counts, with its semicolon or, for the names that allow it, without. In an attribute value
+    (``attribute``) a name without semicolon in front of ``=``, a letter or a digit is no reference, so addresses with query strings
+    stay as they are. Text without references and text whose only reference is ``&amp;`` stay on plain string
+    functions; only the rest is cut into pieces.
     """
     key, end = sql_text(_KEY), sql_text(_END)
-    table = sql_text(_entity_table())
-    marker = f"concat({key}, p, {end})"
-    named = (
-        f"CASE WHEN instr({table}, {marker}) > 0 THEN substring_index(substr({table}, "
-        f"instr({table}, {marker}) + length({marker})), {key}, 1) END"
-    )
+    table = f"split({sql_text(_reference_table())}, {sql_text(_NEXT)})"
+
+    def value(name: str) -> str:
+        """Value of a reference, NULL if there is none of that name."""
+        marker = f"concat({key}, {name}, {end})"
+        bucket = f"get({table}, CAST(crc32(CAST({name} AS BINARY)) % {_BUCKETS} AS INT))"
+        return (f"get(transform(array({bucket}), b -> CASE WHEN contains(b, {marker}) THEN "
+                f"substring_index(substring_index(b, {marker}, -1), {key}, 1) END), 0)")
+
     digits = "trim(LEADING '0' FROM translate(p, '&#xX;', ''))"
     number = (
         f"CAST(CASE WHEN NOT p RLIKE '^&#([0-9]+|[xX][0-9a-fA-F]+);?$' THEN NULL WHEN length({digits}) > 8 THEN '-1' "
@@ -144,16 +152,22 @@ def decode_sql(x: str) -> str:
         "THEN decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') "
         "WHEN n IS NOT NULL THEN '\ufffd' END"
     )
+    # In text a name that is not known may begin with one that needs no semicolon; the last piece is that name or empty.
+    bare = f"regexp_extract(p, '^&(?:{_bare_names()})', 0)"
+    named = value("p") if attribute else (
+        f"get(transform(array({bare}), q -> coalesce({value('p')}, "
+        f"CASE WHEN q != '' THEN concat({value('q')}, substr(p, length(q) + 1)) END)), 0)")
     piece = (
         "CASE WHEN NOT startswith(p, '&') THEN p "
         f"WHEN startswith(p, '&#') THEN coalesce(get(transform(array({number}), n -> {character}), 0), p) "
         f"ELSE coalesce({named}, p) END"
     )
+    behind = "(?![=0-9a-zA-Z])" if attribute else ""
     return (
         f"CASE WHEN NOT contains({x}, '&') THEN {x} "
         f"WHEN NOT contains(replace({x}, '&amp;', ''), '&') THEN replace({x}, '&amp;', '&') "
         f"ELSE array_join(transform(regexp_extract_all({x}, "
-        f"'&(?:[0-9a-zA-Z]+;|#[0-9]+;?|#[xX][0-9a-fA-F]+;?|{_bare_names()})|[^&]+|&', 0), p -> {piece}), '') END"
+        f"'&(?:[0-9a-zA-Z]+;|#[0-9]+;?|#[xX][0-9a-fA-F]+;?|(?:{_bare_names()}){behind})|[^&]+|&', 0), p -> {piece}), '') END"
     )
 
 

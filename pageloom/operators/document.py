@@ -12,7 +12,9 @@ from pageloom.functions.text import (
 from pageloom.functions.url import netloc, url_join
 from pageloom.operators.markdown import add_context, finish, fragment
 from pageloom.operators.metadata import meta_entries, metadata_struct
-from pageloom.operators.tokens import Cleaning, by_page, cleaned_tokens, start_attr
+from pageloom.operators.tokens import (
+    MODE_BITS, Cleaning, by_page, cleaned_tokens, start_attr, tokens_of_all_modes,
+)
 
 SPARSE_CHARS = 200
 
@@ -154,6 +156,23 @@ def visible_text(pages: DataFrame, mode: str = "declared", only_main: bool = Tru
     )
 
 
+def visible_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Visible text of each page under every cleaning: ``(key, declared, full, sanitize_first)``.
+
+    As :func:`visible_text` for each of them, from one token relation.
+    """
+    tokens = tokens_of_all_modes(by_page(pages, key), key)
+    piece = F.struct("pos", "modes", decode_entities(F.col("tok")).alias("text"))
+    rows = F.array_sort(F.collect_list(F.when((F.col("kind") == "text") & (F.col("modes") > 0), piece)))
+    grouped = tokens.filter("modes > 0 OR pos = 0").groupBy(key).agg(rows.alias("_rows"))
+
+    def text(bit: int) -> Column:
+        kept = F.transform(F.filter("_rows", lambda r: r["modes"].bitwiseAND(F.lit(bit)) > 0), lambda r: r["text"])
+        return F.trim(collapse_space(F.array_join(kept, " ")))
+
+    return grouped.select(key, *[text(bit).alias(name) for name, bit in MODE_BITS.items()])
+
+
 def is_thin(markdown: Column, limit: int = SPARSE_CHARS) -> Column:
     """Less than ``limit`` characters of stripped Markdown."""
     return F.length(pystrip(F.coalesce(markdown, F.lit("")))) < limit

@@ -21,12 +21,24 @@ _ANCHOR = (
 )
 
 
-def page_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Every ``a[href]`` of the page as captured: ``(key, src, pos, dst, text)``.
+def link_array(html: Column, url: Column) -> Column:
+    """Every ``a[href]`` of a page as captured, in order: ``array<struct<pos, dst, text>>``.
 
     Addresses are joined with the page URL only (no ``<base>``), and nothing of
     the page is removed first, unlike the links of a document.
     """
+    def link(anchor: Column, pos: Column) -> Column:
+        tag = first_tag(anchor, "a")
+        return F.struct(pos.alias("pos"), attr(tag, "href").alias("href"),
+                        inner_text(F.substr(anchor, F.length(tag) + 1)).alias("text"))
+
+    found = F.transform(F.regexp_extract_all(without_raw_text(html), F.lit(_ANCHOR), F.lit(0)), link)
+    return F.transform(F.filter(found, lambda x: x["href"].isNotNull()), lambda x: F.struct(
+        x["pos"].alias("pos"), url_join(url, x["href"]).alias("dst"), x["text"].alias("text")))
+
+
+def page_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Links of the pages as captured, one row each (see :func:`link_array`): ``(key, src, pos, dst, text)``."""
     found = pages.select(
         key, F.col("url").alias("src"),
         F.posexplode(F.regexp_extract_all(
@@ -69,11 +81,34 @@ def link_edges(pages: DataFrame, trusted: Sequence[str] = (), hosts: DataFrame |
         "src", "pos", "dst", F.substring("text", 1, ANCHOR_CHARS).alias("anchor"))
 
 
+def page_adjacency(pages: DataFrame, trusted: Sequence[str] = (), first: int | None = None) -> DataFrame:
+    """Same-host, safe links of each page as one row: ``(src, links: array<struct<pos, dst, anchor>>)``.
+
+    The row-local form of :func:`link_edges`: a target that a page repeats keeps its first place, and at most the ``first``
+    targets are kept, so what a page adds to a traversal is bounded before anything is shuffled.
+    """
+    def edge(x: Column) -> Column:
+        return F.struct(x["pos"].alias("pos"), x["dst"].alias("dst"), F.substring(x["text"], 1, ANCHOR_CHARS).alias("anchor"))
+
+    kept = F.filter(link_array(F.col("html"), F.col("url")),
+                    lambda x: same_host(x["dst"], F.col("url")) & safe_url(x["dst"], trusted))
+    rows = pages.select(F.col("url").alias("src"), F.transform(kept, edge).alias("links"))
+    # The place of each target's first link among the targets tells repeats apart.
+    targets = F.transform("links", lambda x: x["dst"])
+    once = F.filter("links", lambda x, i: F.array_position(targets, x["dst"]) == i + 1)
+    return rows.select("src", (F.slice(once, 1, first) if first else once).alias("links")).where("size(links) > 0")
+
+
 def external_urls(links: DataFrame) -> DataFrame:
     """Links whose URL does not mention the page's own host."""
     return links.filter(external_to(F.col("dst"), netloc(F.col("src"))))
 
 
+def has_category_links(html: Column, url: Column, limit: int = SHORT_ANCHOR) -> Column:
+    """True when a page has a same-host link with a short text; local to the row."""
+    return F.exists(link_array(html, url), lambda x: (F.length(x["text"]) < limit) & same_host(x["dst"], url))
+
+
 def short_anchor_items(links: DataFrame, limit: int = SHORT_ANCHOR) -> DataFrame:
     """Same-host links with a short text, as ``"text | url"`` items."""
     kept = links.filter((F.length("text") < limit) & same_host(F.col("dst"), F.col("src")))

@@ -30,6 +30,15 @@ def query_terms(goal: str) -> list[str]:
     return out
 
 
+def _counted(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
+    """Add ``_tf``, how often each term occurs in the text, and ``_len``, its number of words."""
+    listed = ", ".join(sql_text(t) for t in terms)
+    counted = df.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
+    counts = let(listed_words("_words", terms),
+                 f"hits -> transform(array({listed}), q -> size(filter(hits, w -> w = q)))")
+    return counted.withColumns({"_tf": counts, "_len": F.size("_words").cast("double")}).drop("_words")
+
+
 def relevance(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
     """Add a BM25 ``score`` of the text for the terms; no shuffle of rows.
 
@@ -38,12 +47,7 @@ def relevance(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
     """
     if not terms:
         return df.withColumn("score", F.lit(0.0))
-    listed = ", ".join(sql_text(t) for t in terms)
-    counted = df.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
-    counts = let(listed_words("_words", terms),
-                 f"hits -> transform(array({listed}), q -> size(filter(hits, w -> w = q)))")
-    counted = counted.withColumns({
-        "_tf": counts, "_len": F.size("_words").cast("double")}).drop("_words")
+    counted = _counted(df, text, terms)
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"),
         *[F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
@@ -58,6 +62,27 @@ def relevance(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
     return counted.withColumn("score", score).drop("_tf", "_len")
 
 
+def relevance_within(df: DataFrame, text: str, terms: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """Add a BM25 ``score`` whose statistics (rows, rows with a term, mean length) are those of the row's group.
+
+    Rows are shuffled once by group, as numbers beside their columns, and a ranking inside the group needs no further shuffle.
+    A group has to fit into one task; here it is the links of one page.
+    """
+    if not terms:
+        return df.withColumn("score", F.lit(0.0))
+    by = Window.partitionBy(*group)
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        seen = F.count_if(F.col("_tf")[i] > 0).over(by)
+        idf = F.log(F.lit(1.0) + (F.col("_n") - seen + 0.5) / (seen + 0.5))
+        tf = F.col("_tf")[i].cast("double")
+        norm = tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg"))
+        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / norm).otherwise(0.0)
+    sized = _counted(df, text, terms).withColumns({
+        "_n": F.count(F.lit(1)).over(by).cast("double"), "_avg": F.avg("_len").over(by)})
+    return sized.withColumn("score", score).drop("_tf", "_len", "_n", "_avg")
+
+
 def top_relevant(df: DataFrame, text: str, terms: Sequence[str], n: int,
                  order: Sequence[str]) -> DataFrame:
     """The n most relevant rows; rows without any term follow in their own order."""

@@ -178,6 +178,30 @@ def token_similarity(left: DataFrame, right: DataFrame, text: str, key: str) ->
              .alias("similarity"))
 
 
+def compare_texts(texts: DataFrame, base: str, key: str = "page_id") -> DataFrame:
+    """Length of each text column and its similarity to the column ``base``: ``(key, extractor, chars, similarity)``.
+
+    The tokens of all texts of a row are counted together, so texts that are grouped by their key are not shuffled again.
+    """
+    names = [c for c in texts.columns if c != key]
+
+    def sided(k: int) -> Column:
+        return F.transform(space_tokens(F.col(names[k])), lambda t: F.struct(t.alias("token"), F.lit(k).alias("side")))
+
+    sides = F.flatten(F.array(*[sided(k) for k in range(len(names))]))
+    lengths = F.struct(*[F.length(n).cast("bigint").alias(n) for n in names])
+    rows = texts.select(key, lengths.alias("_chars"), F.inline_outer(sides))
+    per_token = rows.groupBy(key, "_chars", "token").agg(*[
+        F.count(F.when(F.col("side") == k, 1)).alias(f"_n{k}") for k in range(len(names))])
+    own = f"_n{names.index(base)}"
+    sums = per_token.groupBy(key, "_chars").agg(*[f for k in range(len(names)) for f in (
+        F.sum(F.least(own, f"_n{k}")).alias(f"_shared{k}"), F.sum(F.col(own) + F.col(f"_n{k}")).alias(f"_all{k}"))])
+    return sums.select(key, F.inline(F.array(*[F.struct(
+        F.lit(n).alias("extractor"), F.col(f"_chars.{n}").alias("chars"),
+        F.coalesce(F.try_divide(F.col(f"_shared{k}") * 2, F.col(f"_all{k}")), F.lit(1.0)).alias("similarity"))
+        for k, n in enumerate(names)])))
+
+
 def domain_counts(urls: DataFrame, url: str = "url") -> DataFrame:
     """Number of domains and of URLs, as one row."""
     per_domain = urls.groupBy(netloc(F.col(url)).alias("domain")).agg(F.count(F.lit(1)).alias("n"))

@@ -234,13 +234,18 @@ def match_blocks(tokens: DataFrame, key: str = "page_id",
     return out.drop("_after", "_force_all", "_force_end")
 
 
-def keep_content(tokens: DataFrame, key: str = "page_id") -> DataFrame:
+#: Bits of ``modes``: the cleanings that keep a token.
+MODE_BITS = {"declared": 1, "full": 2, "sanitize_first": 4}
+
+
+def keep_content(tokens: DataFrame, key: str = "page_id", modes: bool = False) -> DataFrame:
     """Decide which tokens survive cleaning; adds the flag ``keep``.
 
     Elements to drop become +1 at their start and -1 after their end; a token
     is dropped while the running sum is above zero. When nothing visible is
     left of the main content, the whole content of the page is kept instead,
-    in the same pass.
+    in the same pass. With ``modes``, tokens have the flag ``active`` too, and a bit mask ``modes`` tells
+    which of all cleanings (``MODE_BITS``) keep them.
     """
     is_open, is_close = F.col("kind") == "open", F.col("kind") == "close"
     by_level = Window.partitionBy(key, "tag", "_level").orderBy("pos")
@@ -259,6 +264,9 @@ def keep_content(tokens: DataFrame, key: str = "page_id") -> DataFrame:
         return F.sum(change).over(running) + inclusive
 
     is_body = F.col("kind").isin("open") & (F.col("tag") == "body")
+    if modes:
+        out = out.withColumn("_active_end", F.col("ends_open") & F.lag("active").over(by_level))
+        out = out.withColumn("_active_depth", depth(F.col("active"), F.col("_active_end")))
     out = out.withColumns({
         "_strip_depth": depth(F.col("strip"), F.col("_strip_end")),
         "_noise_depth": depth(F.col("drop_noise"), F.col("_noise_end")),
@@ -276,6 +284,11 @@ def keep_content(tokens: DataFrame, key: str = "page_id") -> DataFrame:
         F.col("kind").isin("open", "void") & F.col("tag").isin("img", "hr", "br", "li", "td", "th"))
     out = out.withColumn("_has_main", F.max(F.col("_main") & visible).over(whole))
     keep = F.col("_content") & (F.col("_main") | ~F.col("_has_main"))
+    if modes:
+        kept = {"declared": keep, "full": F.col("_content"),
+                "sanitize_first": (F.col("_active_depth") == 0) & ~(is_void & F.col("active"))}
+        mask = sum((F.when(kept[name], bit).otherwise(0) for name, bit in MODE_BITS.items()), F.lit(0))
+        out = out.withColumn("modes", mask).drop("_active_end", "_active_depth", "active")
     return out.withColumn("keep", F.coalesce(keep, F.lit(False))).drop(
         "_strip_end", "_noise_end", "_strip_depth", "_noise_depth", "_in_body",
         "_content", "_has_main", "_level", "_force_cum", "within_force", "force", "strip",
@@ -297,3 +310,10 @@ def cleaned_tokens(pages: DataFrame, cleaning: Cleaning = Cleaning(), key: str =
     tokens = tokens.drop("_attrs", *(repeat or {}))
     tokens = match_blocks(tokens, key, lag_columns=list(columns or {}))
     return keep_content(tokens, key)
+
+
+def tokens_of_all_modes(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Tokens with the bit mask ``modes`` of the cleanings that keep them: one scan, one shuffle, one set of windows."""
+    tokens = mark_selectors(with_attributes(tokenize(pages, key)), Cleaning())
+    tokens = tokens.selectExpr("*", f"kind IN ('open', 'void') AND tag IN ({_listed(ACTIVE)}) AS active").drop("_attrs")
+    return keep_content(match_blocks(tokens, key), key, modes=True)

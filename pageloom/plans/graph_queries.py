@@ -4,22 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pageloom.functions.html import html_lang
+from pageloom.functions.text import decode_entities
 from pageloom.functions.url import netloc, search_url
-from pageloom.operators.graph import crawl, lookup, missing_captures, site_map
+from pageloom.operators.document import extract_documents
+from pageloom.operators.graph import crawl, crawl_documents, lookup, missing_captures, site_map
 from pageloom.operators.harvest import (
-    ONION_URL, category_pages, external_seeds, flat_directories, harvest, queries_on_sources,
+    ONION_URL, category_pages, external_seeds, flat_directories, harvest, hierarchical_seeds, queries_on_sources,
     search_all, seed_union,
 )
-from pageloom.operators.links import link_edges, map_items, page_links, short_anchor_items
+from pageloom.operators.links import (
+    link_edges, map_items, page_adjacency, page_links, short_anchor_items,
+)
 from pageloom.operators.rank import domain_cap, query_terms
 from pageloom.operators.sets import difference, fallback_to, first_per_group, ordered_distinct
 from pageloom.plans.registry import (
-    LINKS, TRUSTED, q, query, sql_netloc, sql_root, table,
+    LINKS, TRUSTED, q, query, sql_decode, sql_netloc, sql_root, table,
 )
 
-EXAMPLE_URL = r"""https?://[a-z0-9.-]+\.example\.(?:com|net|org)[^\s"<>']*"""
+RESULT_URL = EXAMPLE_URL = r"""https?://[a-z0-9.-]+\.example\.(?:com|net|org)[^\s"<>']*"""
 NOISE_SQL = r"/banners/|[?&]bads=|banner-click|/advertising/|\.(gif|png|jpg|webp|css|js)([?#]|$)"
 
 
@@ -39,7 +44,7 @@ _HOP = f"""{LINKS}, hop AS (
 def _map(spark: SparkSession, folder: str, max_urls: int) -> DataFrame:
     pages = _pages(spark, folder)
     seeds = pages.select(F.col("url").alias("seed"))
-    return site_map(link_edges(pages, TRUSTED), seeds, depth=1, max_urls=max_urls)
+    return site_map(page_adjacency(pages, TRUSTED, max_urls), seeds, depth=1, max_urls=max_urls)
 
 
 @query("site_map_hop1", f"WITH {_HOP} SELECT * FROM mapped WHERE ordinal <= 200")
@@ -195,6 +200,87 @@ def seed_search_crawl(spark: SparkSession, folder: str) -> DataFrame:
     return crawl(link_edges(pages, TRUSTED), pages, seeds, depth=1, max_pages=20)
 
 
+# ---- search results to crawl, over links of documents ------------------------------------------
+
+# Pages stand for captures of three sites: links are cut to their first letter, so that many pages share a target, and
+# each page is captured at the target of one of its own links.
+_SITE_ROOT = "'https://' || regexp_extract(url, '\\.example\\.(com|net|org)', 1) || '.site.example.com'"
+_SCOPE = r"^(com|net)\.site\.example\.com$"
+_SEEDS, _CRAWL_CAP = 2, 40
+
+
+def site_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """``(page_id, url, html, query)``: pages under the addresses of three sites that link among themselves."""
+    html = F.regexp_replace("html", '<a href="(/[^"]?)[^"]*"', '<a href="$1"')
+    links = F.regexp_extract_all(html, F.lit('<a href="(/[^"]*)"'), F.lit(1))
+    root = F.concat(F.lit("https://"), F.regexp_extract("url", r"\.example\.(com|net|org)", 1), F.lit(".site.example.com"))
+    one = decode_entities(F.get(links, (F.col("page_id") % 6).cast("int")))
+    return _pages(spark, folder).select("page_id", F.concat(root, one).alias("url"), html.alias("html"),
+                                        html_lang(F.col("html")).alias("query")).filter("url IS NOT NULL")
+
+
+def _crawl_levels_sql(levels: int, cap: int) -> str:
+    """CTEs c0…cn of crawls over ``edges`` and ``site`` from ``seeds`` (crawl_id, url, k); ``crawled`` is their union."""
+    parts, found = [], ""
+    for n in range(levels + 1):
+        if n == 0:
+            new = "SELECT crawl_id, url, min(k) AS k FROM seeds WHERE url IN (SELECT url FROM site) GROUP BY 1, 2"
+            left = str(cap)
+        else:
+            new = (f"SELECT p.crawl_id, e.dst AS url, min(list_append(p.k, e.pos)) AS k FROM c{n - 1} p JOIN edges e ON e.src = p.url "
+                   f"WHERE (p.crawl_id, e.dst) NOT IN (SELECT crawl_id, url FROM f{n - 1}) GROUP BY 1, 2")
+            left = f"{cap} - (SELECT count(*) FROM f{n - 1} f WHERE f.crawl_id = x.crawl_id)"
+        parts.append(f"c{n} AS (SELECT crawl_id, url, k, {n} AS depth FROM (SELECT *, row_number() OVER ("
+                     f"PARTITION BY crawl_id ORDER BY k) AS rn FROM ({new})) x WHERE rn <= {left})")
+        found = (found + " UNION ALL " if found else "") + f"SELECT * FROM c{n}"
+        parts.append(f"f{n} AS ({found})")
+    return ", ".join(parts)
+
+
+@query("search_hits_crawl", f"""
+    WITH own AS (SELECT *, regexp_extract_all(html, '<a href="(/[^"]*)"', 1) AS h FROM (
+      SELECT page_id, {_SITE_ROOT} AS root, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+        regexp_replace(html, '<a href="(/[^"]?)[^"]*"', '<a href="\\1"', 'g') AS html FROM pages)),
+    site AS (SELECT url, min(page_id) AS page_id FROM (
+      SELECT page_id, root || {sql_decode('h[(page_id % 6)::INTEGER + 1]')} AS url FROM own) WHERE url IS NOT NULL GROUP BY 1),
+    edges AS (SELECT src, min(pos) AS pos, dst FROM (
+      SELECT site.url AS src, unnest(range(len(h))) AS pos, root || {sql_decode('unnest(h)')} AS dst FROM site JOIN own USING (page_id)
+      WHERE root NOT LIKE 'https://org.%') WHERE dst IN (SELECT url FROM site) GROUP BY 1, 3),
+    hits AS (SELECT page_id, lang, min(i) AS i, rtrim(u, '/') AS url FROM (
+      SELECT page_id, lang, unnest(range(len(m))) AS i, unnest(m) AS u FROM (SELECT page_id, lang,
+        regexp_extract_all(replace(html, 'href="/', 'href="' || root || '/'), {q(EXAMPLE_URL)}) AS m FROM own))
+      WHERE NOT regexp_matches(u, {q(NOISE_SQL)}) GROUP BY ALL),
+    seeds AS (SELECT lang AS crawl_id, url, [o] AS k FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY page_id, i) AS o
+      FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, url ORDER BY page_id, i) AS r FROM hits) WHERE r = 1))
+      WHERE o <= {_SEEDS}),
+    {_crawl_levels_sql(2, _CRAWL_CAP)}
+    SELECT crawl_id, row_number() OVER (PARTITION BY crawl_id ORDER BY depth, k) AS ordinal, depth, url FROM f2""")
+def search_hits_crawl(spark: SparkSession, folder: str) -> DataFrame:
+    """The first results of each query are crawled to depth 2, over the links of documents on two of the three sites."""
+    pages = site_captures(spark, folder)
+    full = F.concat(F.lit('href="'), F.regexp_extract("url", r"^[a-z]+://[^/]*", 0), F.lit("/"))
+    answers = pages.select(F.col("page_id").alias("capture_id"), F.lit("https://find.example.org/").alias("source"), "query",
+                           F.replace(F.col("html"), F.lit('href="/'), full).alias("body"))
+    hits = harvest(answers, EXAMPLE_URL, 1000, TRUSTED, keep=["query"])
+    results = ordered_distinct(hits.select("query", "url", "capture_id", "pos"), ["query", "url"], ["capture_id", "pos"])
+    by = Window.partitionBy("query").orderBy("capture_id", "pos")
+    seeds = results.withColumn("ordinal", F.row_number().over(by)).filter(F.col("ordinal") <= _SEEDS).select(
+        F.col("query").alias("crawl_id"), "url", "ordinal")
+    return crawl_documents(pages.select("page_id", "url", "html"), seeds, depth=2, max_pages=_CRAWL_CAP, host_pattern=_SCOPE,
+                           trusted=TRUSTED, only_main=False)
+
+
+@query("query_string_links", r"""
+    SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || '/p?id=' || page_id
+      || '&section=2&region=eu&copy=3&timestamp=4&a=1<2' AS url FROM pages""")
+def query_string_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses with query strings whose parameters begin like names of characters, in links of documents."""
+    address = F.concat(F.lit('<html><body><a href="/p?id='), F.col("page_id").cast("string"),
+                       F.lit('&section=2&region=eu&copy=3&amp;timestamp=4&amp;a=1&lt;2">x &copy 3</a>'))
+    pages = _pages(spark, folder).select("page_id", "url", address.alias("html"))
+    return extract_documents(pages, only_main=False).select("page_id", F.explode("links").alias("url"))
+
+
 @query("known_difference", f"""
     WITH {LINKS} SELECT DISTINCT dst AS url FROM links WHERE dst NOT IN (SELECT url FROM pages)""")
 def known_difference(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,6 +308,11 @@ def _captures(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("https://"), suffix, F.lit(".find.example.com/")).alias("source"), body.alias("body"))
 
 
+def search_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Answered searches: ``(capture_id, source, query, body)``; failed ones have no body."""
+    return _answered(_captures(spark, folder)).drop("url")
+
+
 def _answered(captures: DataFrame) -> DataFrame:
     failed = F.startswith(F.col("url"), F.lit("http:"))
     return captures.withColumn("body", F.when(~failed, F.col("body")))
@@ -301,7 +392,7 @@ def query_engine_fanout(spark: SparkSession, folder: str) -> DataFrame:
 # ---- directories and seeds ---------------------------------------------------------------------
 
 
-def _directories(spark: SparkSession, folder: str) -> DataFrame:
+def directory_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as link directories; those captured over plain HTTP list only other sites."""
     flat = F.startswith(F.col("url"), F.lit("http:"))
     other = F.replace(F.col("html"), F.lit('href="/'), F.lit('href="https://other.example.net/'))
@@ -318,10 +409,7 @@ _FLAT = f"""flat AS (SELECT page_id, i, u FROM (
 
 
 def _flat_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    directories = _directories(spark, folder)
-    categories = short_anchor_items(page_links(directories))
-    return external_seeds(flat_directories(directories, categories),
-                          EXAMPLE_URL.replace("'", ""), TRUSTED)
+    return external_seeds(flat_directories(directory_pages(spark, folder)), EXAMPLE_URL.replace("'", ""), TRUSTED)
 
 
 @query("directory_seeds_flat", f"WITH {_FLAT} SELECT page_id, pos, url FROM seeds")
@@ -333,8 +421,8 @@ def directory_seeds_flat(spark: SparkSession, folder: str) -> DataFrame:
 CATEGORY_GOAL = "the and of les der una"
 
 
-def bm25_sql(rows: str, text: str, goal: str, carry: str) -> str:
-    """Rows of a table with their BM25 score: CTEs ending in ``scored``."""
+def bm25_sql(rows: str, text: str, goal: str, carry: str, group: str = "") -> str:
+    """Rows of a table with their BM25 score, by statistics of all or of a group: CTEs ending in ``scored``."""
     terms = query_terms(goal)
     tf = ", ".join(f"len(list_filter(toks, lambda w: w = {q(t)})) AS tf{i}" for i, t in enumerate(terms))
     dfs = ", ".join(f"count_if(tf{i} > 0) AS df{i}" for i in range(len(terms)))
@@ -342,18 +430,23 @@ def bm25_sql(rows: str, text: str, goal: str, carry: str) -> str:
         f"(CASE WHEN tf{i} > 0 THEN ln(1.0 + (n - df{i} + 0.5) / (df{i} + 0.5))::DOUBLE * tf{i} * 2.2::DOUBLE "
         f"/ (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a)) ELSE 0.0::DOUBLE END)"
         for i in range(len(terms)))
+    stat = (f"SELECT {group}, " if group else "SELECT ") + f"count(*)::DOUBLE AS n, avg(dl) AS a, {dfs} FROM cnt"
     return (f"tok AS (SELECT *, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS toks FROM {rows}), "
             f"cnt AS (SELECT *, len(toks)::DOUBLE AS dl, {tf} FROM tok), "
-            f"stat AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS a, {dfs} FROM cnt), "
-            f"scored AS (SELECT {carry}, {score} AS score FROM cnt, stat)")
+            f"stat AS ({stat}{f' GROUP BY {group}' if group else ''}), "
+            f"scored AS (SELECT {carry}, {score} AS score FROM cnt{f' JOIN stat USING ({group})' if group else ', stat'})")
+
+
+# Items of a directory, ranked among themselves.
+_TOP5 = f"""items AS (SELECT page_id, pos, dst, text || ' | ' || dst AS item FROM links
+      WHERE {sql_netloc('src')} = {sql_netloc('dst')} AND length(text) < 50),
+    {bm25_sql('items', 'item', CATEGORY_GOAL, 'page_id, pos, dst, item', 'page_id')},
+    top5 AS (SELECT * FROM (SELECT *, row_number() OVER (
+      PARTITION BY page_id ORDER BY round(score, 9) DESC, pos)::INTEGER AS rank FROM scored) WHERE rank <= 5)"""
 
 
 @query("directory_seeds_top5", f"""
-    WITH {LINKS}, items AS (SELECT page_id, pos, text || ' | ' || dst AS item FROM links
-      WHERE {sql_netloc('src')} = {sql_netloc('dst')}),
-    {bm25_sql('items', 'item', CATEGORY_GOAL, 'page_id, pos, item')}
-    SELECT page_id, pos, item, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (
-      PARTITION BY page_id ORDER BY score DESC, pos)::INTEGER AS rank FROM scored) WHERE rank <= 5""")
+    WITH {LINKS}, {_TOP5} SELECT page_id, pos, item, round(score, 6) AS score, rank FROM top5""")
 def directory_seeds_top5(spark: SparkSession, folder: str) -> DataFrame:
     categories = short_anchor_items(page_links(_pages(spark, folder))).select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "item")
@@ -361,6 +454,37 @@ def directory_seeds_top5(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("score", F.round("score", 6))
 
 
+FIRST_LINK = "regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)"
+_CATEGORY = f"""category AS (SELECT url, arg_min(html, page_id) AS html FROM (
+      SELECT page_id, {sql_root('url')} || {sql_decode(f'{FIRST_LINK}[(page_id % 6)::INTEGER + 1]')} AS url,
+        replace(html, 'href="/', 'href="https://cat.example.net/') AS html FROM pages) WHERE url IS NOT NULL GROUP BY url)"""
+
+
+def category_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Captures of some category pages: the target of one link of each page, with content that lists other sites."""
+    links = F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), F.lit(1))
+    one = F.get(links, (F.col("page_id") % 6).cast("int"))
+    root = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    return _pages(spark, folder).select(
+        "page_id", F.concat(root, decode_entities(one)).alias("url"),
+        F.replace(F.col("html"), F.lit('href="/'), F.lit('href="https://cat.example.net/')).alias("html")
+    ).filter("url IS NOT NULL")
+
+
+@query("directory_seeds_hierarchical", f"""
+    WITH {LINKS}, {_TOP5}, {_CATEGORY},
+    found AS (SELECT page_id, rank, category, unnest(range(len(m))) AS i, unnest(m) AS u FROM (
+      SELECT page_id, rank, url AS category, regexp_extract_all(html, {q(EXAMPLE_URL.replace("'", ""))}) AS m
+      FROM top5 JOIN category ON dst = url))
+    SELECT page_id, rank, category, row_number() OVER (PARTITION BY page_id, rank ORDER BY i) - 1 AS pos, u AS url FROM (
+      SELECT page_id, rank, category, u, min(i) AS i FROM found WHERE NOT contains(u, {sql_netloc('category')}) GROUP BY ALL)""")
+def directory_seeds_hierarchical(spark: SparkSession, folder: str) -> DataFrame:
+    """External URLs on the captured ones of each directory's five best category pages."""
+    rows = hierarchical_seeds(_pages(spark, folder), category_captures(spark, folder), query_terms(CATEGORY_GOAL),
+                              EXAMPLE_URL.replace("'", ""), TRUSTED)
+    return rows.select("page_id", "rank", "category", F.col("pos").cast("bigint").alias("pos"), "url")
+
+
 @query("directory_list", f"""
     WITH {_harvest_sql("'www.ththen.example.com'", "true", ", lang").replace("FROM pages", "FROM (SELECT *, regexp_extract(html, '<html lang=" + '"([^"]*)"' + "', 1) AS lang FROM pages)")},
     firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY page_id, pos) AS rn FROM hits
@@ -371,8 +495,7 @@ def directory_seeds_top5(spark: SparkSession, folder: str) -> DataFrame:
 def directory_list(spark: SparkSession, folder: str) -> DataFrame:
     """Known directories and the first two results per bootstrap query (here: language)."""
     captures = _captures(spark, folder).withColumn("source", F.lit("https://www.ththen.example.com/find"))
-    hits = harvest(captures, EXAMPLE_URL, 20, TRUSTED).join(
-        captures.select("capture_id", "query"), "capture_id")
+    hits = harvest(captures, EXAMPLE_URL, 20, TRUSTED, keep=["query"])
     found = first_per_group(hits, ["query"], ["capture_id", "pos"], 2)
     known = spark.createDataFrame([("https://known.example.org", 0)], "url string, no int")
     return seed_union([("known", known, ["no"]), ("discovered", found, ["capture_id", "pos"])]).select(

@@ -11,7 +11,7 @@ from pageloom.functions.url import (
     excludes_self, hostname, is_noise_url, netloc, safe_url, same_host, url_join,
 )
 from pageloom.operators.document import (
-    compression_ratio, content_type, extract_documents, is_thin, needs_render, visible_text,
+    compression_ratio, content_type, extract_documents, is_thin, needs_render, visible_text, visible_texts,
 )
 from pageloom.operators.enrich import capped_input, enrich, json_or
 from pageloom.operators.guard import (
@@ -21,7 +21,7 @@ from pageloom.operators.links import (
     external_urls, in_scope, link_edges, page_links, short_anchor_items, with_host_address,
 )
 from pageloom.operators.telemetry import (
-    domain_counts, page_facts, result_report, token_similarity,
+    compare_texts, domain_counts, page_facts, result_report,
 )
 from pageloom.operators.triage import (
     PAGE_TYPES, STOP_WORDS, TYPE_PHRASES, TYPE_WORDS, checked_triage, identify_language, triage,
@@ -97,11 +97,8 @@ def visible_full(spark: SparkSession, folder: str) -> DataFrame:
       SELECT page_id, {sql_flat(SQL_ARTICLE)} AS main,
         {sql_flat(f"regexp_extract({SQL_SOURCE}, '(?s)<body>(.*)$', 1)")} AS whole FROM pages)""")
 def noise_removed_share(spark: SparkSession, folder: str) -> DataFrame:
-    pages = _pages(spark, folder)
-    main = visible_text(pages).withColumnRenamed("visible_text", "main")
-    whole = visible_text(pages, only_main=False).withColumnRenamed("visible_text", "whole")
-    share = 1 - F.length("main") / F.length("whole")
-    return main.join(whole, "page_id").select("page_id", F.round(share, 6).alias("removed"))
+    share = 1 - F.length("declared") / F.length("full")
+    return visible_texts(_pages(spark, folder)).select("page_id", F.round(share, 6).alias("removed"))
 
 
 @query("page_markdown", f"WITH {MARKDOWN} SELECT page_id, markdown FROM md")
@@ -139,7 +136,8 @@ def document_link_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("page_html", f"""
-    SELECT page_id, regexp_replace({SQL_ARTICLE}, '</?article>', '', 'g') AS html FROM pages""")
+    SELECT page_id, regexp_replace(regexp_replace({SQL_ARTICLE}, '</?article>', '', 'g'),
+      '(<p>(?:[^<]|</?b>|<br>)*)(<p>|$)', '\\1</p>\\2', 'g') AS html FROM pages""")
 def page_html(spark: SparkSession, folder: str) -> DataFrame:
     return extract_documents(_pages(spark, folder)).select("page_id", "html")
 
@@ -557,25 +555,26 @@ def compression_ratios(spark: SparkSession, folder: str) -> DataFrame:
       SELECT page_id, token, 1 AS x, 0 AS y FROM a UNION ALL SELECT page_id, token, 0, 1 FROM b) GROUP BY 1, 2)
     SELECT page_id, round(2 * sum(least(x, y)) / sum(x + y), 6) AS similarity FROM n GROUP BY 1""")
 def extractor_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    pages = _pages(spark, folder)
-    rows = token_similarity(visible_text(pages), visible_text(pages, "sanitize_first"),
-                            "visible_text", "page_id")
-    return rows.withColumn("similarity", F.round("similarity", 6))
+    rows = compare_texts(visible_texts(_pages(spark, folder)).select("page_id", "declared", "sanitize_first"), "declared")
+    return rows.filter("extractor = 'sanitize_first'").select("page_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("extractor_sizes", f"""
-    SELECT page_id, 'declared' AS extractor, length({sql_flat(SQL_ARTICLE)}) AS chars FROM pages
-    UNION ALL SELECT page_id, 'sanitize_first', length({sql_flat(SQL_SOURCE)}) FROM pages
-    UNION ALL SELECT page_id, 'full',
-      length({sql_flat(f"regexp_extract({SQL_SOURCE}, '(?s)<body>(.*)$', 1)")}) FROM pages""")
+    WITH t AS (SELECT page_id, 'declared' AS extractor, {sql_flat(SQL_ARTICLE)} AS body FROM pages
+      UNION ALL SELECT page_id, 'sanitize_first', {sql_flat(SQL_SOURCE)} FROM pages
+      UNION ALL SELECT page_id, 'full', {sql_flat(f"regexp_extract({SQL_SOURCE}, '(?s)<body>(.*)$', 1)")} FROM pages),
+    w AS (SELECT page_id, extractor, token, count(*) AS n FROM (
+      SELECT page_id, extractor, unnest(regexp_extract_all(body, '[^ ]+')) AS token FROM t) GROUP BY ALL),
+    size AS (SELECT page_id, extractor, sum(n) AS n FROM w GROUP BY ALL),
+    shared AS (SELECT a.page_id, a.extractor, sum(least(a.n, b.n)) AS same FROM w a JOIN w b
+      ON a.page_id = b.page_id AND a.token = b.token AND b.extractor = 'declared' GROUP BY ALL)
+    SELECT t.page_id, t.extractor, length(body) AS chars,
+      round(coalesce(2 * coalesce(same, 0) / (size.n + own.n), 1.0), 6)::DOUBLE AS similarity
+    FROM t LEFT JOIN size USING (page_id, extractor) LEFT JOIN shared USING (page_id, extractor)
+      LEFT JOIN size own ON own.page_id = t.page_id AND own.extractor = 'declared'""")
 def extractor_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    pages = _pages(spark, folder)
-    modes = {"declared": ("declared", True), "sanitize_first": ("sanitize_first", True),
-             "full": ("declared", False)}
-    parts = [visible_text(pages, m, main).select(
-        "page_id", F.lit(name).alias("extractor"), F.length("visible_text").cast("bigint").alias("chars"))
-        for name, (m, main) in modes.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = compare_texts(visible_texts(_pages(spark, folder)), "declared")
+    return rows.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("domain_counts", f"""

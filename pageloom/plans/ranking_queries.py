@@ -17,9 +17,13 @@ from pageloom.operators.rank import (
 from pageloom.operators.telemetry import (
     as_of, global_summary, of_run, percentile_by, run_summary,
 )
-from pageloom.plans.graph_queries import all_seeds, bm25_sql
-from pageloom.plans.registry import LINKS, TRUSTED, q, query, sql_netloc, table
-from pageloom.plans.research import Limits, materialised_seeds, research_report
+from pageloom.plans.graph_queries import (
+    FIRST_LINK, RESULT_URL, bm25_sql, category_captures, directory_pages, search_captures, search_sources,
+)
+from pageloom.plans.registry import (
+    LINKS, MARKDOWN, SQL_TITLE, TRUSTED, q, query, sql_decode, sql_netloc, sql_root, table,
+)
+from pageloom.plans.research import Captured, Limits, expanded, research, research_context
 from pageloom.schema import PAGES
 from pageloom.sources.store import add_missing_columns, conform, filter_sources, upsert_sources
 
@@ -238,8 +242,7 @@ def schema_evolution(spark: SparkSession, folder: str) -> DataFrame:
 _TERMS = query_terms(GOAL)
 
 
-@query("research_report", f"""
-    WITH {bm25_sql('documents', 'text', GOAL, 'doc_id, text, toks')},
+_CHOSEN = f"""{bm25_sql('documents', 'text', GOAL, 'doc_id, text, toks')},
     top AS (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10),
     near AS (SELECT term, count(*) AS tf FROM (SELECT unnest(toks) AS term FROM top)
       WHERE term NOT IN ({', '.join(q(t) for t in _TERMS)}) GROUP BY 1),
@@ -263,13 +266,41 @@ _TERMS = query_terms(GOAL)
       FROM hit, cs GROUP BY term),
     ranked AS (SELECT item, sum(CASE WHEN tf > 0 THEN idf * tf * 2.2::DOUBLE
         / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / ca)) ELSE 0.0::DOUBLE END) AS score
-      FROM hit JOIN idf USING (term), cs GROUP BY item)
-    SELECT url, item, domain, round(score, 6) AS score, url IN (SELECT url FROM pages) AS captured
-    FROM capped JOIN ranked USING (item) ORDER BY round(ranked.score, 9) DESC, page_id, ordinal LIMIT 30""")
-def research(spark: SparkSession, folder: str) -> DataFrame:
-    """Goal to ranked, diverse URLs: expansion, seeds, site maps, cap, relevance, lookup."""
-    queries = [r["query"] for r in expand_query(_docs(spark, folder), GOAL).collect()]
-    seeds = materialised_seeds(all_seeds(spark, folder))
-    return research_report(table(spark, folder, "pages"), seeds, GOAL, queries, TRUSTED, Limits())
+      FROM hit JOIN idf USING (term), cs GROUP BY item),
+    category AS (SELECT url, min(page_id) AS page_id FROM (SELECT page_id, {sql_root('url')}
+      || {sql_decode(f'{FIRST_LINK}[(page_id % 6)::INTEGER + 1]')} AS url FROM pages) WHERE url IS NOT NULL GROUP BY url),
+    chosen AS (SELECT url, item, domain, round(score, 6) AS score, page_id AS seed, ordinal FROM capped JOIN ranked USING (item)
+      ORDER BY round(ranked.score, 9) DESC, page_id, ordinal LIMIT 30)"""
+
+
+def _researched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Pages in all roles: captures, directories, answers of searches; an answer is to the queries whose last word it has."""
+    pages, docs = table(spark, folder, "pages"), _docs(spark, folder)
+    queries = expanded(docs, GOAL)
+    words_of = F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    asked = F.broadcast(queries.select("query", F.substring_index("query", " ", -1).alias("word")))
+    answers = search_captures(spark, folder).drop("query").withColumn("_words", words_of).join(
+        asked, F.expr("array_contains(_words, word)")).drop("_words", "word")
+    captured = Captured(pages, category_captures(spark, folder), directory_pages(spark, folder), answers, search_sources(spark),
+                        pages.select("url", F.col("page_id").alias("ordinal")), docs)
+    return research(captured, GOAL, RESULT_URL, TRUSTED, Limits(), queries)
 
 
+@query("research_report", f"""
+    WITH {_CHOSEN} SELECT url, item, domain, score, url IN (SELECT url FROM pages UNION ALL SELECT url FROM category) AS captured
+    FROM chosen""")
+def research_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Goal to ranked, diverse URLs: expansion, searches, directories, site maps, cap, relevance, lookup."""
+    return _researched(spark, folder)[0]
+
+
+@query("research_context", f"""
+    WITH {_CHOSEN}, {MARKDOWN},
+    pieces AS (SELECT score, c.url, '[' || coalesce({SQL_TITLE}, 'untitled') || '] ' || c.url || chr(10) || substr(markdown, 1, 200) AS piece
+      FROM (SELECT DISTINCT url, score FROM chosen) c JOIN category USING (url) JOIN md ON md.page_id = category.page_id
+      WHERE c.url NOT IN (SELECT url FROM pages))
+    SELECT substr(string_agg(piece, chr(10) || chr(10) ORDER BY score DESC, url), 1, 6000) AS context FROM pieces""")
+def research_context_row(spark: SparkSession, folder: str) -> DataFrame:
+    """Context of the captured ones of the chosen pages."""
+    report, documents = _researched(spark, folder)
+    return research_context(documents, report)

@@ -19,7 +19,9 @@ from pageloom.plans.registry import MARKDOWN, query, sql_root, table
 from pageloom.session import scratch_dir
 from pageloom.sources.captures import read_pages, target_pool
 from pageloom.sources.store import Store, export_json
-from pageloom.streaming.jobs import rolling_telemetry, stream_documents, stream_page_facts, stream_sources
+from pageloom.streaming.jobs import (
+    RANK_ERROR, merged_telemetry, rolling_telemetry, stream_documents, stream_page_facts, stream_sources,
+)
 
 _NOW = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -229,19 +231,50 @@ def streamed_page_facts(spark: SparkSession, folder: str) -> DataFrame:
     return store.read("pages").select("id", F.col("circuit_id").alias("run_id"), "fetch_ms")
 
 
+_LATE = 200
+
+
+def _telemetry_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten-minute windows from a stream in append mode, one file after the other.
+
+    The first and the second third of the time come first, then copies of the first events, which are too late by then, then
+    the rest and one row far ahead that closes all windows but its own.
+    """
+    base, events = _folder(spark), table(spark, folder, "events")
+    second = F.col("ts").cast("timestamp").cast("double")
+    low, high = events.agg(F.min(second), F.max(second)).first()
+    third = F.floor((second - F.lit(low)) * 3 / F.lit(high - low + 1))
+    ahead = events.orderBy(F.desc("ts"), "event_id").limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 DAYS"))
+    late = events.orderBy("ts", "event_id").limit(_LATE)
+    for part in (events.where(third == 0), events.where(third == 1), late, events.where(third == 2), ahead):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    windows = rolling_telemetry(event_facts(spark, folder, stream))
+    (windows.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{base}/state")
+     .option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{base}/out")
+
+
 @query("streamed_telemetry", """
     SELECT time_bucket(INTERVAL 10 MINUTES, ts)::TIMESTAMP::VARCHAR AS window_start, count(*) AS total,
-      sum((event_type <> 'error')::INTEGER)::BIGINT AS success, round(avg(floor(value)::INTEGER), 6) AS avg_ms FROM events GROUP BY 1""")
+      sum((event_type <> 'error')::INTEGER)::BIGINT AS success, round(avg(floor(value)::INTEGER), 6) AS avg_ms,
+      quantile_disc(floor(value)::BIGINT, 0.95) AS p95_ms FROM events GROUP BY 1""")
 def streamed_telemetry(spark: SparkSession, folder: str) -> DataFrame:
-    """Telemetry of tumbling windows, from a stream that is read to its end."""
-    base = _folder(spark)
-    path, schema = _stream_path(folder, "events"), table(spark, folder, "events").schema
-    facts = event_facts(spark, folder, spark.readStream.schema(schema).parquet(path))
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
-
-    (rolling_telemetry(facts).writeStream.outputMode("complete").foreachBatch(keep)
-     .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(f"{base}/out").select(
-        F.col("window_start").cast("string").alias("window_start"), "total", "success", F.round("avg_ms", 6).alias("avg_ms"))
+    """Telemetry of tumbling windows, from a stream with rows that come too late."""
+    return _telemetry_stream(spark, folder).select(
+        F.col("window_start").cast("string").alias("window_start"), "total", "success", F.round("avg_ms", 6).alias("avg_ms"), "p95_ms")
+
+
+@query("merged_telemetry", """
+    SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP::VARCHAR AS window_start, count(*) AS total,
+      sum((event_type = 'signup')::INTEGER)::BIGINT AS injections, round(avg(floor(value)::INTEGER), 6) AS avg_ms, true AS p95_in_bounds
+    FROM events GROUP BY 1""")
+def merged_telemetry_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Days merged from the streamed windows; the sketched percentile lies between the exact ones a rank error away."""
+    days = merged_telemetry(_telemetry_stream(spark, folder), "1 day")
+    exact = event_facts(spark, folder).groupBy(F.window("scraped_at", "1 day").alias("w")).agg(
+        F.percentile("fetch_ms", F.array(F.lit(0.95 - 2 * RANK_ERROR), F.lit(0.95 + 2 * RANK_ERROR))).alias("p"))
+    joined = days.join(exact.select(F.col("w.start").alias("window_start"), "p"), "window_start")
+    return joined.select(F.col("window_start").cast("string").alias("window_start"), "total", "injections",
+                         F.round("avg_ms", 6).alias("avg_ms"),
+                         (F.col("p95_ms").between(F.floor(F.col("p")[0]), F.ceil(F.col("p")[1]))).alias("p95_in_bounds"))

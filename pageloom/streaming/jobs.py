@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -49,9 +49,9 @@ def stream_documents(pages: DataFrame, out: str, checkpoint: str, mode: str = "d
 def stream_sources(updates: DataFrame, store: Store, order: str, checkpoint: str,
                    now: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
                    available_now: bool = True) -> StreamingQuery:
-    """Upsert source updates batch by batch; repeating a batch changes nothing."""
+    """Upsert source updates batch by batch; a batch that is run again after a restart writes nothing."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        store.upsert_sources(batch, order, now())
+        store.upsert_sources(batch, order, now(), (checkpoint, batch_id))
 
     return _start(updates, run, checkpoint, available_now)
 
@@ -66,24 +66,47 @@ def stream_page_facts(facts: DataFrame, store: Store, checkpoint: str,
     unique = facts.withWatermark("scraped_at", lateness).dropDuplicatesWithinWatermark(["id"])
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        store.append_new("pages", batch)
+        store.append_new("pages", batch, (checkpoint, batch_id))
 
     return _start(unique, run, checkpoint, available_now)
 
 
+#: Size of the latency sketches; a quantile's rank is off by less than ``RANK_ERROR`` (with 99 % confidence).
+SKETCH_K, RANK_ERROR = 800, 0.005
+
+
+def _quantile(sketch: str, rank: float) -> Column:
+    """Quantile of a latency sketch; NULL when it has no values."""
+    return F.when(F.kll_sketch_get_n_bigint(sketch) > 0, F.kll_sketch_get_quantile_bigint(sketch, F.lit(rank)))
+
+
 def rolling_telemetry(facts: DataFrame, width: str = "10 minutes",
                       lateness: str = "1 hour") -> DataFrame:
-    """Telemetry per tumbling window; the percentile is approximate to bound state.
+    """Telemetry per tumbling window, for append mode: a window is given out once the watermark has passed its end.
 
-    State is one row per window, combined before the shuffle.
+    Rows that come later than that are dropped. State is one row per window, combined before the shuffle; its latencies are a
+    quantile sketch of bounded size (exact up to ``SKETCH_K`` values), so windows can be merged later (:func:`merged_telemetry`).
     """
     timed = facts.withWatermark("scraped_at", lateness)
     grouped = timed.groupBy(F.window("scraped_at", width)).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("error").isNull()).alias("success"),
-        F.avg("fetch_ms").alias("avg_ms"),
-        F.percentile_approx("fetch_ms", 0.95, 10000).alias("p95_ms"),
+        F.count("fetch_ms").alias("timed"),
+        F.sum("fetch_ms").alias("sum_ms"),
+        F.kll_sketch_agg_bigint(F.col("fetch_ms").cast("bigint"), F.lit(SKETCH_K)).alias("latency_sketch"),
         F.count_if(F.col("injection_detected")).alias("injections"))
     return grouped.select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-        "total", "success", "avg_ms", "p95_ms", "injections")
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "total", "success",
+        F.try_divide("sum_ms", "timed").alias("avg_ms"), _quantile("latency_sketch", 0.95).alias("p95_ms"), "injections",
+        "timed", "sum_ms", "latency_sketch")
+
+
+def merged_telemetry(windows: DataFrame, width: str) -> DataFrame:
+    """Wider windows from those of :func:`rolling_telemetry`: counts are summed and sketches merged, no fact is read again."""
+    grouped = windows.groupBy(F.window("window_start", width)).agg(
+        *[F.sum(c).alias(c) for c in ("total", "success", "timed", "sum_ms", "injections")],
+        F.kll_merge_agg_bigint("latency_sketch", F.lit(SKETCH_K)).alias("latency_sketch"))
+    return grouped.select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "total", "success",
+        F.try_divide("sum_ms", "timed").alias("avg_ms"), _quantile("latency_sketch", 0.95).alias("p95_ms"), "injections",
+        "timed", "sum_ms", "latency_sketch")

@@ -12,7 +12,7 @@ from pageloom.schema import PAGES, PAGES_BASE
 from pageloom.sources.captures import read_pages, target_pool
 from pageloom.sources.store import DuplicateKeyError, Store, add_missing_columns, conform, export_json
 from pageloom.streaming.jobs import (
-    page_signals, rolling_telemetry, stream_documents, stream_page_facts, stream_sources,
+    RANK_ERROR, merged_telemetry, page_signals, rolling_telemetry, stream_documents, stream_page_facts, stream_sources,
 )
 
 NOW = datetime(2024, 5, 1, 12, 0, tzinfo=timezone.utc)
@@ -182,6 +182,40 @@ def test_rolling_telemetry_stream_equals_batch(spark, tmp_path):
     query = (stream.writeStream.format("memory").queryName("telemetry").outputMode("complete")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    got = {tuple(r) for r in spark.table("telemetry").collect()}
-    want = {tuple(r) for r in rolling_telemetry(facts(spark, rows)).collect()}
+    shown = ["window_start", "window_end", "total", "success", "avg_ms", "p95_ms", "injections"]
+    got = {tuple(r) for r in spark.table("telemetry").select(shown).collect()}
+    want = {tuple(r) for r in rolling_telemetry(facts(spark, rows)).select(shown).collect()}
     assert got == want and len(got) == 20
+
+
+def test_late_rows_are_dropped_in_append_mode(spark, tmp_path):
+    def at(minutes, i):
+        return fact(i, scraped_at=NOW + timedelta(minutes=minutes))
+
+    steps = [[at(0, 1), at(5, 3)], [at(300, 5)], [at(1, 7), at(250, 9)], [at(5000, 11)]]
+    for k, rows in enumerate(steps):
+        facts(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = (rolling_telemetry(stream).writeStream.outputMode("append").format("parquet").trigger(availableNow=True)
+             .option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).start())
+    query.awaitTermination()
+    got = {(r.window_start.hour, r.total, r.p95_ms) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 3 and {(n, p) for _, n, p in got} == {(1, 9), (2, 3), (1, 5)}
+
+
+def test_merged_windows_are_those_of_all_facts(spark):
+    rows = [fact(i, scraped_at=NOW + timedelta(seconds=17 * i), fetch_ms=None if i % 7 == 0 else i * 7919 % 10_007,
+                 error="x" if i % 4 == 0 else None) for i in range(9000)]
+    rows += [fact("n", scraped_at=NOW + timedelta(days=9), fetch_ms=None)]
+    frame = facts(spark, rows)
+    merged = {r.window_start: r for r in merged_telemetry(rolling_telemetry(frame), "1 day").collect()}
+    direct = {r.window_start: r for r in rolling_telemetry(frame, "1 day").collect()}
+    assert merged.keys() == direct.keys()
+    for day, r in merged.items():
+        assert (r.total, r.success, r.avg_ms, r.timed) == (direct[day].total, direct[day].success, direct[day].avg_ms, direct[day].timed)
+        own = sorted(x["fetch_ms"] for x in rows if x["fetch_ms"] is not None and x["scraped_at"].date() == day.date())
+        if own:
+            rank = sum(v <= r.p95_ms for v in own) / len(own)
+            assert abs(rank - 0.95) < 2 * RANK_ERROR
+        else:
+            assert r.p95_ms is None and r.avg_ms is None
