@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,29 +125,65 @@ def repeatable_sample(df: DataFrame, run: str, key: str, n: int = 5) -> DataFram
     return df.withColumn("_rn", F.row_number().over(by)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+@dataclass(frozen=True)
+class TermIndex:
+    """Inverted index of a corpus: ``postings`` (term, key, tf, length), number of documents and mean length in words.
+
+    Rows lie by (term, key), so a common term is spread over all files, and are sorted by term inside of each, so a filter
+    on terms skips most pages of a file.
+    """
+
+    postings: DataFrame
+    documents: int
+    average: float
+
+
+def term_index(documents: DataFrame, text: str = "text", key: str = "doc_id") -> TermIndex:
+    """Write the index of a corpus; its texts are read once and shuffled once, as one row a document and word."""
+    split = documents.select(F.col(key).alias("key"), words(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
+    tokens = split.select("key", F.size("_words").alias("length"), F.explode("_words").alias("term"))
+    postings = cut_lineage(tokens.groupBy("term", "key", "length").agg(F.count(F.lit(1)).alias("tf"))
+                           .sortWithinPartitions("term"), "index")
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    count = documents.count()  # from the file footers
+    return TermIndex(postings, count, total / count if count else 0.0)
+
+
+def indexed_relevance(index: TermIndex, terms: Sequence[str]) -> DataFrame:
+    """BM25 ``(key, score)`` of the documents that have any of the terms; the others score zero and are left out."""
+    hits = index.postings.filter(F.col("term").isin(*terms or [""]))
+    seen = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # one row a term
+    idf = F.lit(0.0)
+    for term, df in seen.items():
+        idf = F.when(F.col("term") == term, math.log(1.0 + (index.documents - df + 0.5) / (df + 0.5))).otherwise(idf)
+    tf = F.col("tf").cast("double")
+    norm = tf + K1 * (1 - B + B * F.col("length") / F.lit(index.average or 1.0))
+    return hits.withColumn("_part", idf * tf * (K1 + 1) / norm).groupBy("key").agg(F.sum("_part").alias("score"))
+
+
 def expand_query(documents: DataFrame, goal: str, n: int = 6, feedback: int = 10,
-                 text: str = "text", key: str = "doc_id") -> DataFrame:
+                 text: str = "text", key: str = "doc_id", index: TermIndex | None = None) -> DataFrame:
     """Search queries from the corpus: goal plus its best co-occurring terms.
 
     The ``feedback`` most relevant documents, a parameter of pseudo-relevance
     feedback, give candidate terms; each is weighted by its frequency there and its
     rarity in the whole corpus. Returns
-    ``(query_no, query)``; the bare goal when nothing matches.
+    ``(query_no, query)``; the bare goal when nothing matches. All of it is read from the
+    ``index`` of the corpus, which is written first unless it is given.
     """
     terms = query_terms(goal)
-    scored = relevance(documents, text, terms).filter(F.col("score") > 0)
-    top = scored.orderBy(F.desc("score"), key).limit(feedback).select(key, text)
-    near = top.select(F.explode(words(F.col(text))).alias("term"))
-    near = near.filter(~F.col("term").isin(*terms or [""]))
+    index = term_index(documents, text, key) if index is None else index
+    scored = indexed_relevance(index, terms)
+    # Rounded, so that equal scores tie whatever order their terms were added in.
+    top = cut_lineage(scored.orderBy(F.desc(F.round("score", 9)), "key").limit(feedback).select("key"), "feedback")
+    near = index.postings.join(F.broadcast(top), "key", "left_semi").filter(~F.col("term").isin(*terms or [""]))
     # Terms of the feedback documents only: written once, because it is used twice below.
-    near = cut_lineage(near.groupBy("term").agg(F.count(F.lit(1)).alias("tf")), "near-terms")
-    total = documents.count()
-    spread = documents.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
-    spread = spread.join(near.select("term"), "term", "left_semi").groupBy("term").agg(
+    near = cut_lineage(near.groupBy("term").agg(F.sum("tf").alias("tf")), "near-terms")
+    spread = index.postings.select("term").join(near.select("term"), "term", "left_semi").groupBy("term").agg(
         F.count(F.lit(1)).alias("df"))
     weighted = near.join(spread, "term").withColumn(
-        "weight", F.round(F.col("tf") * F.log(F.lit(1.0 + total) / F.col("df")), 6))
-    best = weighted.orderBy(F.desc("weight"), "term").limit(n)
+        "weight", F.round(F.col("tf") * F.log(F.lit(1.0 + index.documents) / F.col("df")), 6))
+    best = cut_lineage(weighted.orderBy(F.desc("weight"), "term").limit(n), "best-terms")
     numbered = best.withColumn("query_no", F.row_number().over(
         Window.orderBy(F.desc("weight"), "term"))).select(
         F.col("query_no").cast("long").alias("query_no"),
