@@ -36,14 +36,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                         ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, end_id).encode
+        known = encoder(tokenizer, end_id)
         shard, before = TaskContext.get().partitionId(), 0
-        for part in slices(batches):
-            found = encode(part.column("text").to_pylist())
-            n = np.array([len(x) // 4 for x in found], np.int64)
-            ends = np.cumsum(n)
-            values = pa.array(np.frombuffer(b"".join(found), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
+        for part in slices(batches, rows=2000, chars=1_500_000):
+            ids, ends = known.encode_array(part.column("text"))
+            n = np.diff(ends, prepend=0)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view("<i4")))
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(before + ends - n),
                 pa.array(n), lists], schema=schema)

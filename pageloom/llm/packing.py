@@ -37,26 +37,23 @@ def encode_and_project(docs: DataFrame, tokenizer: str, end_id: int, length: int
         known = encoder(tokenizer, end_id)
         width = "<u2" if known.vocabulary <= 1 << 16 else "<u4"
         bucket, sign, onto = _projection(max(known.vocabulary, end_id + 1))
-        for part in slices(batches):
-            rows: list[list] = [[], [], [], [], []]
-            vectors, times = np.zeros((part.num_rows, BUCKETS)), []
-            for k, (doc, digest, raw) in enumerate(zip(
-                    part.column("doc_id").to_pylist(), part.column("digest").to_pylist(),
-                    known.encode(part.column("text").to_pylist()))):
-                ids = np.frombuffer(raw, "<u4")
-                vectors[k] = np.bincount(bucket[ids], sign[ids], BUCKETS)
-                small = ids.astype(width)
-                starts = range(0, len(ids), length)
-                times.append(len(starts))
-                for column, value in zip(rows, (doc, digest, len(ids))):
-                    column.extend([value] * len(starts))
-                rows[3].extend(starts)
-                rows[4].extend(small[a:a + length].tobytes() for a in starts)
+        for part in slices(batches, rows=2000, chars=1_500_000):
+            ids, ends = known.encode_array(part.column("text"))
+            sizes = np.diff(ends, prepend=0)
+            of = np.repeat(np.arange(len(ends)) * BUCKETS, sizes)
+            vectors = np.bincount(of + bucket[ids], sign[ids], len(ends) * BUCKETS).reshape(-1, BUCKETS)
             vectors = np.sign(vectors) * np.sqrt(np.abs(vectors))
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-            at = np.repeat((vectors @ onto).astype(np.float32), times, axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(rows, schema)] + [pa.array(x) for x in at.T], schema=schema)
+            times = -(-sizes // length)
+            row = np.repeat(np.arange(len(ends)), times)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)) * length
+            cuts = np.append(start + (ends - sizes)[row], len(ids)) * np.dtype(width).itemsize
+            pieces = pa.BinaryArray.from_buffers(pa.binary(), len(row), [
+                None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(ids.astype(width))])
+            at = (vectors @ onto).astype(np.float32)[row]
+            yield pa.RecordBatch.from_arrays([
+                part.column("doc_id").take(pa.array(row)), part.column("digest").take(pa.array(row)), pa.array(sizes[row]),
+                pa.array(start), pieces, *[pa.array(x) for x in at.T]], schema=schema)
 
     return (docs.select("doc_id", "text").withColumn("digest", F.xxhash64("text"))
             .mapInArrow(chunks, "doc_id long, digest long, doc_tokens long, start long, ids binary, "
