@@ -22,10 +22,18 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _MIN_VALUE, _MIN_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "pem", "key", "jwt")
 
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*){0,2}\.[A-Za-z0-9_-]+")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
+# Armoured blocks; lines may end in written-out escapes, and headers may stand before the body.
+_BREAK = r"(?:\s|\\[nr])"
+_ARMOUR = re.compile(
+    rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----((?:{_BREAK}+[A-Za-z-]+: [^\n\\]*)*)((?:{_BREAK}|[A-Za-z0-9+/=])+)-----END \1-----")
+_ESCAPES = re.compile(rf"{_BREAK}+")
+_ENCRYPTED = re.compile(r"DEK-Info: [A-Za-z0-9-]+,([0-9A-Fa-f]{16,32})")
+# Dotted tokens, and runs that can be base64 or hex of at least 18 bytes: no private key is shorter.
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{12,}(?:\.[A-Za-z0-9_-]*){2,}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}(?:\r?\n[A-Za-z0-9+/_-]{24,})*(?:\r?\n[A-Za-z0-9+/_-]+)?={0,2}")
+_HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){18,}|(?:[0-9A-F]{2}){18,}")
+# Object identifiers under which encrypted keys are kept: PKCS #5 and PKCS #12 password schemes.
+_PASSWORD_SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def elements(data: bytes) -> list[tuple[int, bytes]] | None:
@@ -50,7 +58,7 @@ def elements(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_private_key(data: bytes) -> bool:
-    """Whether nested lengths and types are those of a private key (PKCS#1, PKCS#8, SEC1 or OpenSSH)."""
+    """Whether nested lengths and types are those of a private key (PKCS#1, PKCS#8 plain or encrypted, SEC1 or OpenSSH)."""
     magic = b"openssh-key-v1\0"
     if data.startswith(magic):
         at, fields = len(magic), 0
@@ -76,6 +84,9 @@ def is_private_key(data: bytes) -> bool:
     if not inner:
         return False
     tags = [t for t, _ in inner]
+    if tags == [0x30, 0x04]:  # scheme, encrypted key
+        named = elements(inner[0][1])
+        return bool(named) and named[0][0] == 0x06 and named[0][1].startswith(_PASSWORD_SCHEMES)
     if tags[:3] == [0x02, 0x30, 0x04]:  # version, algorithm, key
         named = elements(inner[1][1])
         return bool(named) and named[0][0] == 0x06
@@ -129,32 +140,78 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in _HEX.finditer(text)]
 
 
+def armoured(text: str) -> Iterator[re.Match]:
+    """Armoured blocks whose body is a private key, or is enciphered as its headers say."""
+    if "PRIVATE KEY" in text:
+        for m in _ARMOUR.finditer(text):
+            for raw in decoded(_ESCAPES.sub("", m[3])):
+                sealed = _ENCRYPTED.search(m[2])
+                if is_private_key(raw) or sealed and raw and len(raw) % (len(sealed[1]) // 2) == 0:
+                    yield m
+
+
+def is_key_material(data: bytes) -> bool:
+    """Whether bytes are a private key, or a file with one in armour."""
+    if data[:1] in (b"0", b"o") and is_private_key(data):
+        return True
+    return b"PRIVATE KEY" in data and any(armoured(data.decode("latin-1")))
+
+
+def run_key(run: str) -> int | None:
+    """Where in a base64 run a key begins that fills the rest of it: at its start or behind a slash."""
+    at = 0
+    while at is not None and len(run) - at >= 24:
+        # The first three bytes tell whether any structure can begin here.
+        for head in decoded(run[at:at + 4]):
+            if head[0] in b"0o-" or head[:1].isspace():
+                whole = "".join(run[at:].split())
+                if any(map(is_key_material, decoded(whole))):
+                    return at
+        after = run.find("/", at)
+        at = after + 1 if after >= 0 else None
+    return None
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Encoded candidates that decode to a private key or carry a signed token's header."""
-    out = []
-    if "PRIVATE KEY-----" in text:
-        for m in _ARMOUR.finditer(text):
-            if any(map(is_private_key, decoded("".join(m[2].split())))):
-                out.append(("pem", *m.span()))
-    if "eyJ" in text:
-        for m in _SIGNED.finditer(text):
+    out = [("pem", *m.span()) for m in armoured(text)]
+    if "." in text:
+        for m in _DOTTED.finditer(text):
             parts = m[0].split(".")
             for n in (5, 3):  # encrypted or signed; more parts are text that follows
                 run = ".".join(parts[:n])
                 if len(parts) >= n and is_signed_token(run):
                     out.append(("jwt", m.start(), m.start() + len(run)))
                     break
+    blocks = [(a, b) for _, a, b in out]
     for m in _RUN.finditer(text):
-        # A key's first bytes are a sequence or the name of its format: MA to MP, or b3BlbnNzaC.
-        if (m[0][0] == "M" or m[0].startswith("b3BlbnNzaC")) and any(map(is_private_key, decoded(m[0]))):
-            out.append(("key", *m.span()))
-        else:
-            for h in _HEX_RUN.finditer(m[0]):
-                if h[0][:2] in ("30", "6f", "6F") and is_private_key(bytes.fromhex(h[0])):
-                    out.append(("key", m.start() + h.start(), m.start() + h.end()))
+        if any(a < m.end() and m.start() < b for a, b in blocks):
+            continue  # the body of an armoured block or a token
+        found = _first_key(m[0])
+        if found:
+            out.append(("key", m.start() + found[0], m.start() + found[1]))
+            continue
+        for h in _HEX_RUN.finditer(m[0]):
+            if is_key_material(bytes.fromhex(h[0])):
+                out.append(("key", m.start() + h.start(), m.start() + h.end()))
     return out
 
 
+def _first_key(run: str) -> tuple[int, int] | None:
+    """Place of a key in a run that may go over several lines: the whole run, or one of its lines."""
+    at = run_key(run)
+    if at is not None:
+        return at, len(run)
+    if "\n" in run:
+        begin = 0
+        for line in run.splitlines(keepends=True):
+            at = run_key(line.strip())
+            if at is not None:
+                return begin + at, begin + len(line.rstrip())
+            begin += len(line)
+    return None
+
+
 def in_text_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -162,9 +219,9 @@ def in_text_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``spans`` (kind, start, end, confirmed, value) of every row, in text order.
 
-    Plain kinds are found by pattern. Beside them, armoured blocks, base64 and hex runs and dotted
-    tokens are decoded, and reported only if the nested lengths and types of a private key, or a signed
-    token's header and body, can be read from the whole of them. Places count code points, end exclusive.
+    Plain kinds are found by pattern. Beside them, armoured blocks, base64 and hex runs (also over several lines, behind a slash,
+    or of a whole armoured file) and dotted tokens are decoded, and reported only if the nested lengths and types of a
+    private key, plain or encrypted, or a signed token's header and body, can be read from the whole of them. Places count code points, end exclusive.
 
     Null and empty texts have no spans. Every row is read on its own and whole, so repeated rows repeat
     their result; other columns are ignored, and an empty table gives no rows.
