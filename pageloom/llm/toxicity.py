@@ -16,6 +16,10 @@ from pageloom.llm.frames import slices, table
 
 DECAY = 0.6
 LONGEST, STEP = 32, 16
+# Smallest share of a landmark that counts.
+CUT = 0.2
+# Neighbouring words that are also read as one: the shorter has at most so many characters, both together so many.
+PART, WHOLE = 3, 12
 REMEMBER = 250_000
 # Deviations by which a landmark must be commoner in toxic texts.
 CLEAR = 5.0
@@ -23,6 +27,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ ]){3,}\S(?!\S)")
 _EDGE = re.compile(r"^\W+|\W+$")
 _INNER = re.compile(r"[\W_]+")
+_FILLED = re.compile(r"[^\W_]([^\W_])(?:[^\W_]\1){2,}[^\W_]?")
 
 
 # ---- the kernel ------------------------------------------------------------------------------------------
@@ -86,7 +91,7 @@ class Landmarks:
         """Kernel with each landmark, as a share of the landmark's own value, at most one.
 
         A word that lacks two or more of a landmark's different letters counts zero for it, and shares
-        under 0.2 count zero, so most words have no feature at all.
+        under ``CUT`` count zero, so most words have no feature at all.
         """
         out = np.zeros((len(words), len(self.words)))
         if not words:
@@ -98,7 +103,7 @@ class Landmarks:
             rows = np.flatnonzero(np.bitwise_count(mask & ~masks) <= 1)
             for at, width in _chunks(rows, lengths):
                 share = subsequence_kernel(table_[at, :width], landmark) / self.self_values[k]
-                out[at, k] = np.where(share >= 0.2, np.minimum(share, 1), 0)
+                out[at, k] = np.where(share >= CUT, np.minimum(share, 1), 0)
         return out
 
 
@@ -113,29 +118,47 @@ def _chunks(rows: np.ndarray, lengths: np.ndarray, most: int = 1024) -> Iterator
 # ---- sentences -------------------------------------------------------------------------------------------
 
 
-def sentence_words(text: str) -> list[list[str]]:
+def sentence_words(text: str, common: frozenset[str] | None = None) -> list[list[str]]:
     """Words of every sentence, in lower case without outer punctuation; spelled-out words are put together.
 
-    A word over LONGEST characters stands for its overlapping windows of that length.
+    With ``common`` short words, neighbouring words of which one is short, but none of these, are also put together, as an
+    insult may be split by a blank. A word over LONGEST characters stands for its overlapping windows of that length.
     """
     out = []
     for sentence in _SENTENCE.split(text.lower()):
         words = sentence.split()
+        whole = []
+        if common is not None:
+            for k, word in enumerate(words):
+                if len(word) <= PART and word not in common and word.isalpha():
+                    for a, b in ((words[k - 1] if k else "", word), (word, words[k + 1] if k + 1 < len(words) else "")):
+                        if a and b and 3 < len(a) + len(b) <= WHOLE and a[-1].isalnum() and b[0].isalnum():
+                            whole.append(a + b)
         if " " in sentence:
-            words += [m[0].replace(" ", "") for m in _SPACED.finditer(sentence)]
-        out.append(words)
+            whole += [m[0].replace(" ", "") for m in _SPACED.finditer(sentence)]
+        out.append(words + whole)
     return out
 
 
+def common_short_words(texts: list[str], share: float = 0.01) -> frozenset[str]:
+    """Words of at most PART characters that more than this share of the texts hold."""
+    held = Counter(w for t in texts for w in {w for w in t.lower().split() if len(w) <= PART})
+    return frozenset(w for w, n in held.items() if n > share * len(texts))
+
+
 def bare(word: str) -> list[str]:
-    """The word without outer punctuation, and without inner punctuation either if it is split by some."""
+    """The word without outer punctuation, and without what splits it: inner punctuation, or one character between all others."""
     word = _EDGE.sub("", word)
+    out = windows(word)
     if not word.isalnum() and (whole := _INNER.sub("", word)) != word:
-        return windows(word) + windows(whole)
-    return windows(word)
+        out = out + windows(whole)
+    if len(word) > 6 and word[1] == word[3] == word[5] and _FILLED.fullmatch(word):
+        out = out + windows(word[::2])
+    return out
 
 
 def windows(word: str) -> list[str]:
+    """The word, or its windows; words of one or two characters share no subsequence with a landmark."""
     if len(word) <= LONGEST:
         return [word] if len(word) > 2 else []
     return [word[i:i + LONGEST] for i in range(0, len(word) - LONGEST + STEP, STEP)]
@@ -144,8 +167,8 @@ def windows(word: str) -> list[str]:
 class Reader:
     """Turns texts into sentence features; remembers the features of at most REMEMBER words."""
 
-    def __init__(self, landmarks: Landmarks):
-        self.landmarks = landmarks
+    def __init__(self, landmarks: Landmarks, common: frozenset[str] = frozenset()):
+        self.landmarks, self.common = landmarks, common
         self.known: dict[str, np.ndarray | None] = {}
 
     def learn(self, words: set[str]) -> None:
@@ -164,7 +187,7 @@ class Reader:
 
     def sentences(self, texts: list[str]) -> list[np.ndarray]:
         """For each text, the features of its sentences that have any, one row each."""
-        read = [sentence_words(t) for t in texts]
+        read = [sentence_words(t, self.common) for t in texts]
         self.learn({w for s in read for ws in s for w in ws})
         known, out = self.known, []
         for sentences in read:
@@ -246,6 +269,10 @@ class Model:
     weights: np.ndarray
     slope: float
     offset: float
+    common: frozenset[str] = frozenset()
+
+    def reader(self) -> Reader:
+        return Reader(self.landmarks, self.common)
 
     def margins(self, sentences: list[np.ndarray]) -> np.ndarray:
         """Largest margin over the sentences of each text; one without features has the bias alone."""
@@ -266,8 +293,9 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = 40,
     toxic text, the one it finds worst, and that choice is repeated with the machine learnt.
     """
     marks = Landmarks(choose_landmarks(texts, toxic, landmarks))
-    model = Model(marks, np.append(marks.features(marks.words).sum(0) @ marks.onto, 0.0), 1.0, 0.0)
-    read = Reader(marks).sentences(texts)
+    model = Model(marks, np.append(marks.features(marks.words).sum(0) @ marks.onto, 0.0), 1.0, 0.0,
+                  common_short_words(texts))
+    read = model.reader().sentences(texts)
     none = np.zeros(len(marks.words))
     for _ in range(rounds):
         rows = [r[np.argmax(r @ marks.onto @ model.weights[:-1])] if len(r) else none for r in read]
@@ -320,7 +348,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model.landmarks) if model else None
+        reader = model.reader() if model else None
         for part in slices(batches):
             texts = [t or "" for t in part.column("text").to_pylist()]
             found = model.scores(model.margins(reader.sentences(texts))) if model else np.zeros(len(texts))
@@ -332,7 +360,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs``, all columns, whose text scores under ``threshold``; null and empty texts stay."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model.landmarks) if model else None
+        reader = model.reader() if model else None
         for part in slices(batches):
             if model is None:
                 yield part
