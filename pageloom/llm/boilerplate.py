@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm.frames import table
+from pageloom.llm.frames import fresh, table
 from pageloom.session import cut_lineage
 
 RATIO, MIN_PAGES = 0.05, 3
-BROADCAST_LINES, SALTS = 500_000, 64
+#: The list of lines is sent to every task up to this size; an entry takes some 24 bytes.
+BROADCAST_LINES = 500_000
 
 
 def _key(line: Column) -> Column:
@@ -25,9 +26,9 @@ def drop_site_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO,
     summed in each task before the shuffle, by host and a 96-bit digest of the line, so neither a hot
     host nor a hot line meets in one task. A host keeps at most (lines per page) / ratio such lines.
     The list of all hosts is sent to every task while it has at most ``BROADCAST_LINES`` entries; a
-    longer one is joined by host and salt.
+    longer one is joined by host, one row a host, and a hot host's pages are split by the skew rule.
 
-    All columns are returned, ``text`` changed and ``n_dropped`` added; texts keep the order of their
+    All columns are returned, ``text`` changed and ``n_dropped`` added (or replaced); texts keep the order of their
     other lines, and a text whose lines all go is empty. Lines are compared as they are; blank lines
     always stay. Null text stays null and has no lines; a null host is a host of its own; rows
     are treated one by one. An empty table gives no rows.
@@ -43,19 +44,16 @@ def drop_site_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO,
     by_host = cut_lineage(frequent.groupBy("c.host").agg(F.collect_list("key").alias("known"))
                           .select("host", "known", F.size("known").alias("size")), "lines")
     total = by_host.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    if total <= BROADCAST_LINES:
-        joined = docs.join(F.broadcast(by_host.select(F.col("host").alias("_host"), F.col("known").alias("_known"))),
-                           site.eqNullSafe(F.col("_host")), "left")
-    else:
-        salted = by_host.select(F.col("host").alias("_host"), F.col("known").alias("_known"),
-                                F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        joined = docs.withColumn("_own", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(
-            salted, site.eqNullSafe(F.col("_host")) & (F.col("_own") == F.col("_salt")), "left")
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_known", _key(x)))
-    text = F.when(F.col("_known").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    dropped = F.when(F.col("_known").isNull() | F.col("text").isNull(), 0).otherwise(
+    name = fresh(docs, "found")
+    listed = by_host.select(F.struct("host", "known").alias(name))
+    joined = docs.join(F.broadcast(listed) if total <= BROADCAST_LINES else listed,
+                       site.eqNullSafe(F.col(name)["host"]), "left")
+    known = F.col(name)["known"]
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(known, _key(x)))
+    text = F.when(known.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    dropped = F.when(known.isNull() | F.col("text").isNull(), 0).otherwise(
         F.size(lines) - F.size(kept)).cast("long")
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "n_dropped"],
                          dropped.alias("n_dropped"))
 
 

@@ -36,3 +36,9 @@ def small(frame: DataFrame) -> DataFrame:
     row = F.lit(16 * len(frame.columns)).cast("long")
     size = frame.agg(F.coalesce(F.sum(sum([F.coalesce(t, F.lit(0)) for t in texts], row)), F.lit(0))).first()[0]
     return F.broadcast(frame) if size <= BROADCAST_BYTES else frame
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """A name for a working column that the frame does not use."""
+    used = {c.lower() for c in frame.columns}
+    return next(n for k in range(len(used) + 1) if (n := f"{name}_{k}") not in used)

@@ -1,4 +1,4 @@
-"""SimHash links and near duplicates through an inverted index of byte positions."""
+"""SimHash links through an inverted index of byte positions."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm.components import components
-from pageloom.llm.frames import slices, table
+from pageloom.llm.frames import fresh, slices, small, table
 from pageloom.session import cut_lineage
 
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -52,15 +52,17 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id`` and signed 64-bit ``fingerprint`` of every row; zero without words (null or empty text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
+    """``doc_id``, ``digest`` of the text and signed 64-bit ``fingerprint`` of every row; zero without words (null or empty text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("fingerprint", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = [majority(shingle_hashes(words_of(t), shingle)) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("digest"), pa.array(found, pa.int64())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fingerprint long")
+    return (docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+            .mapInArrow(of, "doc_id long, digest long, fingerprint long"))
 
 
 # ---- exact links of 64-bit fingerprints ------------------------------------------------------------------
@@ -139,6 +141,14 @@ def position_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     return lists.mapInArrow(links, "src long, dst long")
 
 
+def _rooted(each: DataFrame, max_bits: int) -> DataFrame:
+    """Every distinct fingerprint with the ``root`` of its component, written."""
+    distinct = cut_lineage(each.select("fingerprint").distinct(), "fingerprints")
+    roots = components(position_links(distinct, max_bits))
+    return cut_lineage(distinct.join(roots, distinct.fingerprint == roots.node, "left").select(
+        "fingerprint", F.coalesce("root", "fingerprint").alias("root")), "fingerprints")
+
+
 def similar_fingerprints(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
 
@@ -149,255 +159,45 @@ def similar_fingerprints(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -
     are ignored, and an empty table gives no rows.
     """
     each = cut_lineage(fingerprints(docs, shingle), "fingerprints")
-    distinct = cut_lineage(each.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "fingerprints")
-    roots = components(position_links(distinct, max_bits))
-    rooted = distinct.join(roots, distinct.fingerprint == roots.node, "left").select(
-        "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    rooted = cut_lineage(rooted, "fingerprints")
+    rooted = _rooted(each, max_bits)
+    first = each.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    rooted = cut_lineage(rooted.join(first, "fingerprint"), "fingerprints")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = cut_lineage(rooted.join(smallest, "root").select("fingerprint", "component_id"), "fingerprints")
     return each.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- near duplicates by the shingles they share ----------------------------------------------------------
-
-WIDE, COUNTERS, CHUNK, TILE = 256, 1 << 20, 4096, 1000
-
-
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the text's runs of ``size`` words, sorted; one if it has fewer words or none."""
-    from xxhash import xxh64_intdigest
-
-    words = words_of(text)
-    each = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-    runs = max(1, len(words) - size + 1)
-    h = np.full(runs, min(len(words), size), np.uint64)
-    for k in range(min(size, len(words))):
-        h = (h ^ each[k:k + runs]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(h ^ h >> np.uint64(32))
-
-
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(44)).astype(np.int64)
-
-
-def _frequencies(texts: DataFrame, size: int) -> np.ndarray:
-    """Shingles of the corpus in each of ``COUNTERS`` hash buckets: a table of fixed size."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(COUNTERS, np.int64)
-        for part in slices(batches):
-            found = [_counter(shingle_set(t, size)) for t in part.column("text").to_pylist()]
-            if found:
-                sums += np.bincount(np.concatenate(found), minlength=COUNTERS)
-        if sums.any():
-            yield pa.RecordBatch.from_arrays([
-                pa.array(range(COUNTERS // CHUNK), pa.int32()),
-                pa.array([c.tobytes() for c in sums.astype(np.uint32).reshape(-1, CHUNK)], pa.binary())],
-                names=["chunk", "sums"])
-
-    def merge(frame):
-        total = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in frame["sums"])
-        return frame[:1].assign(sums=[np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()])
-
-    rows = (texts.select("text").mapInArrow(count, "chunk int, sums binary")
-            .groupBy("chunk").applyInPandas(merge, "chunk int, sums binary").collect())
-    out = np.zeros(COUNTERS, np.uint32)
-    for r in rows:
-        out[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(r.sums, np.uint32)
-    return out
-
-
-def apart_at_most(a, b, similarity: float):
-    """Largest symmetric difference of sets of ``a`` and ``b`` members that have this Jaccard similarity."""
-    return (1 - similarity) / (1 + similarity) * (a + b) + 1e-6
-
-
-def parity(hashes: np.ndarray) -> bytes:
-    """Parity of the members in each of ``8 * WIDE`` buckets; sets differ in at least as many members as bits."""
-    odd = np.bincount((hashes & np.uint64(8 * WIDE - 1)).astype(np.int64), minlength=8 * WIDE) & 1
-    return np.packbits(odd.astype(bool)).tobytes()
-
+def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """The documents, one row of each component of similar fingerprints: that with the smallest ``doc_id``.
 
-def prefix(hashes: np.ndarray, frequency: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest members of a set, so many that a set of at least this Jaccard similarity has one of them in its own.
-
-    At least ``similarity * n`` of the n members are shared, so the first shared one, in one order for all
-    sets, is among the first n - ceil(similarity * n) + 1 of both. Any order will do; rare first keeps lists short.
-    """
-    keep = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1
-    return hashes[np.argsort(frequency[_counter(hashes)], kind="stable")[:keep]]
-
-
-def _shingle_index(texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """node, number of shingles, parity print and the keys of its posting lists."""
-    frequency = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, size))
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64()))])
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, rows=128):
-            sets = [shingle_set(t, size) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                part.column("node"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([parity(s) for s in sets], pa.binary()),
-                pa.array([prefix(s, frequency.value, similarity).view(np.int64) for s in sets],
-                         pa.list_(pa.int64()))], schema=schema)
-
-    return texts.mapInArrow(of, "node long, n long, print binary, keys array<long>")
-
-
-def _prints(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE // 8)
-
-
-def _tally(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose parity prints do not rule out the similarity."""
-    schema = pa.schema([("node", pa.int64()), ("hub", pa.int64())])
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, rows=4000):
-            a, b = (_prints(part.column(c)) for c in ("print", "hub_print"))
-            n, m = (part.column(c).to_numpy(zero_copy_only=False) for c in ("n", "hub_n"))
-            hit = pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= apart_at_most(n, m, similarity))
-            yield pa.RecordBatch.from_arrays([part.column("node").filter(hit), part.column("hub").filter(hit)],
-                                             schema=schema)
-
-    return pairs.select("node", "hub", "n", "hub_n", "print", "hub_print").mapInArrow(kept, "node long, hub long")
-
-
-def _tally_tiles(tiles: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of members (side, node, root, n, print) of a list with other roots that their prints do not rule out.
-
-    With members of two sides only pairs across the sides are taken; the others are in the tiles of one side.
+    All columns are returned as they are. A null ``doc_id`` counts last; rows with one ``doc_id`` are told apart by a digest
+    of their text, the smaller stays, and of rows equal in both any one. Texts without words are one component. An empty table
+    gives no rows.
     """
-    schema = pa.schema([("node", pa.int64()), ("hub", pa.int64())])
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, rows=100):
-            for members, across in zip(part.column("members"), part.column("across").to_pylist()):
-                m = members.values
-                side, node, root, n = (m.field(c).to_numpy(zero_copy_only=False) for c in ("side", "node", "root", "n"))
-                prints = _prints(m.field("print"))
-                for k in range(len(node) - 1):
-                    near = np.abs(n[k + 1:] - n[k]) <= apart_at_most(n[k + 1:], n[k], similarity)
-                    near &= root[k + 1:] != root[k]
-                    if across:
-                        near &= side[k + 1:] != side[k]
-                    at = np.flatnonzero(near) + k + 1
-                    at = at[np.bitwise_count(prints[at] ^ prints[k]).sum(1, dtype=np.int64)
-                            <= apart_at_most(n[at], n[k], similarity)]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(np.maximum(node[at], node[k])), pa.array(np.minimum(node[at], node[k]))], schema=schema)
-
-    return tiles.select("members", "across").mapInArrow(kept, "node long, hub long")
-
-
-def _verified(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs of texts whose sets of word shingles have at least that Jaccard similarity."""
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, rows=200):
-            known: dict[int, np.ndarray] = {}
-            hit = []
-            for a, b, x, y in zip(*[part.column(c).to_pylist() for c in ("node", "hub", "text", "hub_text")]):
-                for key, text in ((a, x), (b, y)):
-                    if key not in known:
-                        known[key] = np.unique(shingle_hashes(words_of(text), shingle))
-                both = len(np.intersect1d(known[a], known[b], assume_unique=True))
-                union = len(known[a]) + len(known[b]) - both
-                hit.append(both >= similarity * union)
-            hit = pa.array(hit, pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column("node").filter(hit), part.column("hub").filter(hit)],
-                                             schema=schema)
-
-    return pairs.select("node", "hub", "text", "hub_text").mapInArrow(kept, "src long, dst long")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id`` and ``component_id`` (smallest ``doc_id`` of its group) of every document.
-
-    Groups are the components of all pairs of texts whose sets of ``shingle``-word shingles have at least that
-    Jaccard similarity. Exact copies are grouped first. Each different text is kept in the posting lists of its
-    rarest shingles, so many that every such pair meets in a list (``prefix``); lists with the same members are
-    one. In two rounds the members of a list are candidates with one hub, the member outside the last hub's
-    group that meets most others: in a group of edited copies that is the common original, and it spares the pairs
-    inside the group. Then in every list with more than one group left, all pairs across its groups are
-    candidates, in tiles of bounded size. Candidates that parity prints do not rule out are verified on the texts.
-
-    ``doc_id`` identifies a document: rows that repeat it form one group. Null text is
-    empty; empty texts are copies of each other. Ties go to the smaller ``doc_id``; a null ``doc_id``
-    is never linked to others by likeness. Other columns are ignored; an empty table gives no rows.
-    """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(
-        {"h": F.xxhash64("text"), "g": F.xxhash64(F.lit(7), "text")})
-    first = cut_lineage(keyed.groupBy("h", "g").agg(F.min("doc_id").alias("node")), "texts")
-    single = cut_lineage(keyed.join(first, ["h", "g"]).where("doc_id = node").select("node", "text"), "texts")
-    index = cut_lineage(_shingle_index(single, shingle, similarity), "prints")
-    postings = index.select("node", F.explode("keys").alias("key"))
-    shared = postings.groupBy("key").agg(
-        F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("a"),
-        F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("b")).where("size > 1")
-    lists = cut_lineage(shared.groupBy("size", "a", "b").agg(F.min("key").alias("key")), "lists")
-    met = cut_lineage(postings.join(lists.select("key", "size"), "key"), "postings")
-    weight = cut_lineage(met.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    prints = index.select("node", "n", "print")
-
-    def verified(near: DataFrame) -> DataFrame:
-        """Those of the pairs whose texts are alike."""
-        involved = near.selectExpr("inline(array(struct(node AS node), struct(hub AS node)))").distinct()
-        texts = cut_lineage(single.join(involved, "node", "left_semi"), "texts")
-        return cut_lineage(_verified(near.join(texts, "node").join(
-            texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub"), shingle, similarity), "links")
-
-    def links(hubs: DataFrame, members: DataFrame) -> DataFrame:
-        """Verified links of the members of each list with its hub."""
-        pairs = members.join(hubs, "key").where("root <> hub_root").select("node", "hub").distinct()
-        hub_prints = prints.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("print").alias("hub_print"))
-        return verified(cut_lineage(_tally(pairs.join(prints, "node").join(hub_prints, "hub"), similarity), "pairs"))
-
-    def best(members: DataFrame) -> DataFrame:
-        """The member of each list that meets most others over all its lists."""
-        return (members.groupBy("key").agg(F.max(F.struct(
-            "weight", (-F.col("node")).alias("hub"), F.col("root").alias("hub_root"))).alias("top"))
-            .select("key", (-F.col("top.hub")).alias("hub"), F.col("top.hub_root").alias("hub_root")))
-
-    def placed_in(members: DataFrame, roots: DataFrame) -> DataFrame:
-        """Members with the groups found so far as their roots."""
-        placed = roots.select("node", F.col("root").alias("placed"))
-        return members.drop("root").join(placed, "node", "left").withColumn(
-            "root", F.coalesce("placed", "node")).drop("placed")
-
-    weighed = cut_lineage(met.join(weight, "node").select("key", "node", "weight", F.col("node").alias("root")), "postings")
-    hubs = cut_lineage(best(weighed), "hubs")
-    found = links(hubs, weighed)
-    roots = cut_lineage(components(found), "classes")
-    # What the first hubs left apart: each list's best member outside its hub's group is the next hub.
-    again = cut_lineage(placed_in(weighed, roots), "postings")
-    placed = roots.select(F.col("node").alias("hub"), F.col("root").alias("placed"))
-    hub_roots = hubs.select("key", "hub").join(placed, "hub", "left").select(
-        "key", F.coalesce("placed", "hub").alias("hub_root"))
-    apart = cut_lineage(again.join(hub_roots, "key").where("root <> hub_root").drop("hub_root"), "postings")
-    found = found.unionAll(links(cut_lineage(best(apart), "hubs"), apart))
-    roots = cut_lineage(components(found), "classes")
-    # What is still apart: all pairs across the groups of a list. Lists of one group or of two members are done.
-    again = cut_lineage(placed_in(again, roots), "postings")
-    open_lists = again.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).where(
-        "size > 2 AND a <> b").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    side = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    left = again.join(cut_lineage(open_lists, "lists"), "key").join(prints, "node").select(
-        "key", "node", "root", "n", "print", side.alias("side"),
-        F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    tiles = left.groupBy("key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q")).agg(
-        F.collect_list(F.struct("side", "node", "root", "n", "print")).alias("members")).withColumn("across", F.expr("p < q"))
-    near = cut_lineage(_tally_tiles(tiles, similarity).distinct(), "pairs")
-    roots = components(found.unionAll(verified(near)))
-    named = first.join(roots, "node", "left").select("h", "g", F.coalesce("root", "node").alias("component_id"))
-    return keyed.select("doc_id", "h", "g").join(cut_lineage(named, "classes"), ["h", "g"]).select(
-        "doc_id", "component_id")
+    each = cut_lineage(fingerprints(docs, shingle), "fingerprints")
+    rooted = _rooted(each, max_bits)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    first = each.groupBy("fingerprint").agg(F.min(place).alias("place"), F.count("*").alias("n"))
+    rooted = cut_lineage(rooted.join(first, "fingerprint"), "fingerprints")
+    best = rooted.groupBy("root").agg(F.min("place").alias("best"), F.sum("n").alias("n")).where("n > 1")
+    crowded = cut_lineage(rooted.join(best, "root").select(
+        "fingerprint", F.col("best.doc_id").alias("best_id"), F.col("best.digest").alias("best_digest")), "fingerprints")
+    rows = each.join(small(crowded), "fingerprint")
+    is_best = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("digest") == F.col("best_digest"))
+    dropped = cut_lineage(rows.where(~is_best).select("doc_id", "digest").distinct(), "copies")
+    repeated = cut_lineage(rows.where(is_best).groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+                           .select("doc_id", "digest"), "copies")
+
+    def matching(found: DataFrame) -> DataFrame:
+        return small(found.select(F.struct("doc_id", "digest").alias(there)))
+
+    here, there = fresh(docs, "own"), fresh(docs, "other")
+    kept = docs.withColumn(here, F.struct(F.col("doc_id"), F.xxhash64("text").alias("digest")))
+    kept = kept.join(matching(dropped), F.col(here).eqNullSafe(F.col(there)), "left_anti")
+    twice = kept.join(matching(repeated), F.col(here).eqNullSafe(F.col(there)), "left_semi").dropDuplicates([here])
+    alone = kept.join(matching(repeated), F.col(here).eqNullSafe(F.col(there)), "left_anti")
+    return alone.unionByName(twice).drop(here)
 
 
 def simhash_components(spark: SparkSession, folder: str) -> DataFrame:

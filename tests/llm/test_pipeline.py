@@ -43,3 +43,40 @@ def test_every_stage_takes_effect(spark, tmp_path):
     assert set(seen["near_dedup"]) - set(seen["decontamination"]) == {302}
     pieces = pipeline.run(spark, folder).toPandas()
     assert set(pieces.doc_id) == set(seen["decontamination"])
+
+
+def test_stages_on_awkward_tables(spark, tmp_path):
+    names = "n_dropped found_0 own_0 other_0 bad digest fingerprint root n score spans items words known host key part".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    texts = {1: None, 2: "", 3: "a b c d e", 4: f"x {item} y", 5: "menu\nfirst words of a page", 6: "menu\nother words of a page",
+             7: "menu\nthird words of a page", 8: "A B c  d e", 9: "word " * 30_000, None: "a null id"}
+    rows = [(i, t, None, None if i == 3 else "s", None, *["clash"] * len(names)) for i, t in texts.items()]
+    rows += [rows[4], (3, "another text of id three", *rows[2][2:])]
+    frame = spark.createDataFrame(rows, schema).repartition(3)
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    found = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, frame, folder)
+        assert out.columns == frame.columns
+        found[name] = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        assert stage(spark, frame.limit(0), folder).count() == 0
+    every = sorted(((r[0], r[1]) for r in rows), key=str)
+    assert found["toxicity"] == every
+    assert found["line_dedup"] == sorted(((i, t.replace("menu\n", "") if t else t) for i, t in every), key=str)
+    assert found["decontamination"] == [r for r in every if r[0] != 4]
+    gone = {8: texts[8], 2: ""}  # like 3, and without words like 1
+    once = sorted(((i, t) for i, t in dict.fromkeys(every) if gone.get(i) != t), key=str)
+    assert found["near_dedup"] == once
+    pieces = pipeline.packing(spark, frame, folder).toPandas()
+    assert (pieces.start == 0).sum() == len(rows) and pipeline.packing(spark, frame.limit(0), folder).count() == 0
+
+
+def test_stages_in_a_row_on_an_empty_table(spark, tmp_path):
+    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long",
+               "labels": "doc_id long, quality long, toxic long", "benchmark": "item_id long, text string"}
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
