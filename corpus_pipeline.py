@@ -11,43 +11,45 @@ from pageloom.llm.boilerplate import drop_site_lines
 from pageloom.llm.encoder import word_bpe_path
 from pageloom.llm.frames import small, table
 from pageloom.llm.packing import pack
-from pageloom.llm.simhash import near_duplicates
+from pageloom.llm.simhash import one_of_each
 from pageloom.llm.toxicity import keep_clean, train
 from pageloom.llm.winnow import decontaminate
 from pageloom.session import cut_lineage, scratch_dir
 
 
+# All stages: other columns, whatever their names, are passed on; a null text counts as empty; repeated rows are treated
+# each by itself unless a stage says otherwise; an empty table gives an empty one. Texts are read whole.
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject; null and empty texts stay, and all do when a class has no labelled document."""
     return keep_clean(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate of their source; ``n_chars`` follows the text."""
-    kept = drop_site_lines(docs).drop("n_dropped")
+    """All documents, without the lines that are boilerplate of their source; ``n_chars`` follows the text, null for null."""
+    kept = drop_site_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact or near copies: the one with the smallest ``doc_id``."""
-    classes = cut_lineage(near_duplicates(docs), "classes")
-    copies = small(cut_lineage(classes.where("doc_id <> component_id").select("doc_id").distinct(), "copies"))
-    repeated = small(cut_lineage(
-        classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "copies"))
-    kept = docs.join(copies, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    """One document of each component of similar fingerprints: the one with the smallest ``doc_id``, a null one last.
+
+    Texts without words are one component; of rows with one ``doc_id`` the one with the smaller text digest comes first, and of
+    repeated rows any one stays.
+    """
+    return one_of_each(docs).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; rows that share a ``doc_id`` with one that has a passage go, too."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     bad = small(cut_lineage(found.where("contaminated").select(F.col("doc_id").alias("bad")).distinct(), "leaks"))
     return docs.join(bad, docs.doc_id.eqNullSafe(bad.bad), "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, with their ids."""
+    """Pieces of token sequences, with their ids; an empty document is its end id."""
     return pack(docs, word_bpe_path())
 
 
