@@ -320,7 +320,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1000) -> Model | None:
     """Fit on at most ``most`` toxic and ``most`` other labelled documents, picked by a digest of the id.
 
     Only labels of rows whose crc32(doc_id as text) mod 5 is not 0 are read. Rows without label or
-    id are passed over; None if one of the classes has no document.
+    id, and null texts, are passed over; None if one of the classes has no document, as in empty tables. A ``doc_id`` that
+    repeats counts once with each label it has, with the smallest of its texts; other columns, whatever their names, are ignored.
     """
     mine = (labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL AND crc32(CAST(doc_id AS string)) % 5 <> 0")
             .select("doc_id", "toxic"))
@@ -331,7 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1000) -> Model | None:
               for k in (0, 1)]
     rows = (docs.select("doc_id", "text").where("text IS NOT NULL")
             .join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id")
-            .dropDuplicates(["doc_id", "toxic"]).orderBy("doc_id", "toxic").collect())
+            .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id", "toxic").collect())
     toxic = np.array([r.toxic == 1 for r in rows], bool)
     if not toxic.any() or toxic.all():
         return None
@@ -358,7 +359,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text scores under ``threshold``; null and empty texts stay."""
+    """Rows of ``docs``, all columns, whose whole text scores under ``threshold``; null and empty texts stay.
+
+    Rows are judged one by one, so repeated rows go or stay together; without a model all stay; an empty table gives no rows.
+    """
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.reader() if model else None
         for part in slices(batches):

@@ -432,9 +432,10 @@ def test_toxicity_learns_gapped_insults(spark, empty):
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(found[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.95
     tests = [(1, "alpha d-r-e-c-k-i-g beta"), (2, "so drexckig it is"), (3, "d r e c k i g you"), (4, "alpha beta"),
-             (5, None), (6, ""), (7, "x" * 100_000), (8, "alpha. " * 20_000 + "miststueck")]
+             (5, None), (6, ""), (7, "x" * 100_000), (8, "alpha. " * 20_000 + "miststueck"), (9, "you dxrxexcxkxixg one"),
+             (10, "a dr eckig beta"), (11, "so drecki g. it")]
     scores = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
-    assert all(scores[i] >= 0.5 for i in (1, 2, 3, 8)) and all(scores[i] < 0.5 for i in (4, 5, 6, 7))
+    assert all(scores[i] >= 0.5 for i in (1, 2, 3, 8, 9, 10, 11)) and all(scores[i] < 0.5 for i in (4, 5, 6, 7))
     kept = toxicity.keep_clean(spark.createDataFrame(tests, "doc_id long, text string"), model)
     assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7]
     assert toxicity.train(frame.drop("toxic"), frame.drop("text").limit(0)) is None
@@ -461,6 +462,36 @@ def test_subsequence_kernel_is_the_sum_over_pairs():
                               brute_kernel(word, landmark, p, toxicity.DECAY))
 
 
+def test_margin_of_a_text_is_that_of_its_worst_sentence():
+    """The Nyström map and the machine, written out from the kernel."""
+    marks = toxicity.Landmarks(["idiot", "clown", "scum", "trash"])
+    own = [brute_kernel(w, w, toxicity.order_of(w), toxicity.DECAY) for w in marks.words]
+
+    def share(word, k):
+        landmark = marks.words[k]
+        value = brute_kernel(word, landmark, toxicity.order_of(landmark), toxicity.DECAY) / own[k]
+        return min(value, 1.0) if value >= toxicity.CUT and len(set(landmark) - set(word)) <= 1 else 0.0
+
+    gram = np.array([[share(w, k) for k in range(4)] for w in marks.words])
+    value, vector = np.linalg.eigh((gram + gram.T) / 2 + 0.05 * np.eye(4))
+    onto = vector @ np.diag(np.maximum(value, 0.05) ** -0.5) @ vector.T
+    weights = np.array([1.5, 0.25, -0.5, 2.0, -1.0])
+    model = toxicity.Model(marks, weights, 2.0, 0.5, frozenset({"a", "the"}))
+    texts = ["The idi0t spoke. A clown and some trash!", "nothing here", "", "scumm; ttrash", "id iot. Claun", "t.r.a.s.h", "tXrXaXsXh"]
+    words = [[["idi0t", "spoke", "the"], ["clown", "and", "some", "trash"]], [["nothing", "here"]], [[]], [["scumm", "ttrash"]],
+             [["idiot"], ["claun"]], [["trash"]], [["trash"]]]
+    expected = []
+    for sentences in words:
+        best = weights[-1]
+        for s in sentences:
+            x = np.array([max([share(w, k) for w in s], default=0.0) for k in range(4)])
+            if x.any():
+                best = max(best, x @ onto @ weights[:-1] + weights[-1])
+        expected.append(best)
+    found = model.margins(model.reader().sentences(texts))
+    assert np.allclose(found, expected) and np.allclose(model.scores(found), 1 / (1 + np.exp(-(2 * np.array(expected) + 0.5))))
+
+
 def test_surrogates(spark, empty):
     texts = {
         1: "Mail Ann.Lee@corp.com or ann.lee@corp.com, call +1 (017) 555-7713 from 10.20.30.40; Mrs. Maria Keller met Frau Keller",
