@@ -180,8 +180,8 @@ def html_lang(html: Column) -> Column:
     return null_if_empty(attr(first_tag(html, "html"), "lang"))
 
 
-def inner_text(fragment: Column) -> Column:
-    """Text nodes of a fragment, each stripped, joined by one space."""
+def inner_text(fragment: Column, between: str = " ") -> Column:
+    """Text nodes of a fragment, each stripped, joined by ``between``."""
     nodes = F.split(fragment, r"<[!?/a-zA-Z][^>]*>")
     texts = F.transform(nodes, lambda n: pystrip(decode_entities(n)))
-    return F.array_join(F.filter(texts, lambda t: t != ""), " ")
+    return F.array_join(F.filter(texts, lambda t: t != ""), between)

@@ -97,7 +97,7 @@ def hierarchical_seeds(directories: DataFrame, captures: DataFrame, terms: Seque
     contributes nothing, and of several captures of an address the one with the smallest key counts. Captures move
     as lists of URLs, not as HTML.
     """
-    chosen = category_pages(short_anchor_items(page_links(directories, key)), terms, n, key).select(
+    chosen = category_pages(short_anchor_items(page_links(directories, key, between="")), terms, n, key).select(
         key, "rank", F.col("dst").alias("category"))
     listed = captures.select(F.col("url").alias("category"), F.col(key).alias("_key"), external_urls_in(
         F.col("html"), F.col("url"), pattern, trusted).alias("_urls"))

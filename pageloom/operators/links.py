@@ -21,8 +21,8 @@ _ANCHOR = (
 )
 
 
-def link_array(html: Column, url: Column) -> Column:
-    """Every ``a[href]`` of a page as captured, in order: ``array<struct<pos, dst, text>>``.
+def link_array(html: Column, url: Column, between: str = " ") -> Column:
+    """Every ``a[href]`` of a page as captured, in order: ``array<struct<pos, dst, text>>``; ``between`` joins the text's nodes.
 
     Addresses are joined with the page URL only (no ``<base>``), and nothing of
     the page is removed first, unlike the links of a document.
@@ -30,14 +30,14 @@ def link_array(html: Column, url: Column) -> Column:
     def link(anchor: Column, pos: Column) -> Column:
         tag = first_tag(anchor, "a")
         return F.struct(pos.alias("pos"), attr(tag, "href").alias("href"),
-                        inner_text(F.substr(anchor, F.length(tag) + 1)).alias("text"))
+                        inner_text(F.substr(anchor, F.length(tag) + 1), between).alias("text"))
 
     found = F.transform(F.regexp_extract_all(without_raw_text(html), F.lit(_ANCHOR), F.lit(0)), link)
     return F.transform(F.filter(found, lambda x: x["href"].isNotNull()), lambda x: F.struct(
         x["pos"].alias("pos"), url_join(url, x["href"]).alias("dst"), x["text"].alias("text")))
 
 
-def page_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def page_links(pages: DataFrame, key: str = "page_id", between: str = " ") -> DataFrame:
     """Links of the pages as captured, one row each (see :func:`link_array`): ``(key, src, pos, dst, text)``."""
     found = pages.select(
         key, F.col("url").alias("src"),
@@ -47,7 +47,7 @@ def page_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     tag = first_tag(F.col("_a"), "a")
     inner = F.substr(F.col("_a"), F.length(tag) + 1)
     found = found.select(key, "src", "pos", attr(tag, "href").alias("_href"),
-                         inner_text(inner).alias("text"))
+                         inner_text(inner, between).alias("text"))
     return found.filter(F.col("_href").isNotNull()).select(
         key, "src", "pos", url_join(F.col("src"), F.col("_href")).alias("dst"), "text")
 
@@ -105,8 +105,8 @@ def external_urls(links: DataFrame) -> DataFrame:
 
 
 def has_category_links(html: Column, url: Column, limit: int = SHORT_ANCHOR) -> Column:
-    """True when a page has a same-host link with a short text; local to the row."""
-    return F.exists(link_array(html, url), lambda x: (F.length(x["text"]) < limit) & same_host(x["dst"], url))
+    """True when a page has a same-host link with a short text (nodes joined without blanks); local to the row."""
+    return F.exists(link_array(html, url, ""), lambda x: (F.length(x["text"]) < limit) & same_host(x["dst"], url))
 
 
 def short_anchor_items(links: DataFrame, limit: int = SHORT_ANCHOR) -> DataFrame:

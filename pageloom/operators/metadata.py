@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageloom.functions.html import (
-    all_tags, attribute_sql, attributes_sql, html_lang, title_text, without_raw_text,
+    all_tags, attribute_sql, attributes_sql, html_lang, title_text,
 )
 from pageloom.functions.text import let, pystrip, sql_text
 from pageloom.functions.url import url_join
@@ -112,8 +112,3 @@ def metadata_struct(html: Column, page_url: Column, entries: str = "_entries",
     values["content_type"] = F.lit(None).cast("string")
     values["extra"] = extra_map(entries)
     return F.struct(*[values[name].alias(name) for name in METADATA_FIELDS])
-
-
-def head_source(html: Column) -> Column:
-    """HTML that metadata is read from: comments and raw text removed."""
-    return without_raw_text(html)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pageloom.session import cut_lineage
+
 
 def ordered_distinct(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First occurrence of each key; reduced before the shuffle, so hot keys are cheap."""
@@ -23,12 +25,9 @@ def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], n
 
 
 def fallback_to(primary: DataFrame, other: DataFrame) -> DataFrame:
-    """The primary rows, or the other rows when there are no primary rows."""
-    some = primary.limit(1).select(F.lit(1).alias("_some"))
-    # One row at most, so broadcasting it is always safe.
-    flagged = other.withColumn("_one", F.lit(1)).join(
-        F.broadcast(some), F.col("_one") == F.col("_some"), "left_anti").drop("_one")
-    return primary.unionByName(flagged.select(*primary.columns))
+    """The primary rows, or the other rows when there are no primary rows; the primary ones are worked out once and written."""
+    found = cut_lineage(primary, "primary")
+    return other.select(*found.columns) if found.isEmpty() else found
 
 
 def difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -448,7 +448,7 @@ _TOP5 = f"""items AS (SELECT page_id, pos, dst, text || ' | ' || dst AS item FRO
 @query("directory_seeds_top5", f"""
     WITH {LINKS}, {_TOP5} SELECT page_id, pos, item, round(score, 6) AS score, rank FROM top5""")
 def directory_seeds_top5(spark: SparkSession, folder: str) -> DataFrame:
-    categories = short_anchor_items(page_links(_pages(spark, folder))).select(
+    categories = short_anchor_items(page_links(_pages(spark, folder), between="")).select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "item")
     rows = category_pages(categories, query_terms(CATEGORY_GOAL), 5)
     return rows.withColumn("score", F.round("score", 6))
