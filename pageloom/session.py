@@ -11,6 +11,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows of whole texts: an Arrow batch of the default 10,000 takes tens of MB outside the heap, for each task twice.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
