@@ -53,6 +53,10 @@ class IdEncoder:
                 for t in (self.tokenizer, self.bare)]
         if both[0] != both[1]:
             self.bare = self.tokenizer
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the known stems, as at the end of a task."""
         self.known = pa.array([], pa.string())
         self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
 

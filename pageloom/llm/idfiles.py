@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm.encoder import encoder, word_bpe_path
-from pageloom.llm.frames import slices, table
+from pageloom.llm.frames import release, slices, table
 from pageloom.session import scratch_dir
 
 FILE_SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
@@ -46,6 +46,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 part.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(before + ends - n),
                 pa.array(n), lists], schema=schema)
             before += int(ends[-1])
+        known.forget()
+        release()
 
     ordered = (docs.select("doc_id", "text").withColumn("digest", F.xxhash64("text"))
                .repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest"))

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm.encoder import encoder, word_bpe_path
-from pageloom.llm.frames import slices, table
+from pageloom.llm.frames import release, slices, table
 from pageloom.session import cut_lineage
 
 BUCKETS, DIMENSIONS, BITS = 512, 3, 8
@@ -37,7 +36,7 @@ def encode_and_project(docs: DataFrame, tokenizer: str, end_id: int, length: int
         known = encoder(tokenizer, end_id)
         width = "<u2" if known.vocabulary <= 1 << 16 else "<u4"
         bucket, sign, onto = _projection(max(known.vocabulary, end_id + 1))
-        for part in slices(batches, rows=2000, chars=1_500_000):
+        for part in slices(batches, rows=2000, chars=1_000_000):
             ids, ends = known.encode_array(part.column("text"))
             sizes = np.diff(ends, prepend=0)
             of = np.repeat(np.arange(len(ends)) * BUCKETS, sizes)
@@ -54,6 +53,8 @@ def encode_and_project(docs: DataFrame, tokenizer: str, end_id: int, length: int
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id").take(pa.array(row)), part.column("digest").take(pa.array(row)), pa.array(sizes[row]),
                 pa.array(start), pieces, *[pa.array(x) for x in at.T]], schema=schema)
+        known.forget()
+        release()
 
     return (docs.select("doc_id", "text").withColumn("digest", F.xxhash64("text"))
             .mapInArrow(chunks, "doc_id long, digest long, doc_tokens long, start long, ids binary, "
@@ -97,7 +98,10 @@ def hilbert_key(cuts: list[list[float]]) -> Column:
     edges = [np.array(c, np.float32) for c in cuts]
 
     @F.pandas_udf("long")
-    def key(*axes: pd.Series) -> pd.Series:
+    def key(x, y, z):
+        import pandas as pd  # only where it is needed: it takes memory in every worker
+
+        axes = (x, y, z)
         cells = np.stack([np.searchsorted(e, a.to_numpy(np.float32), "right") for e, a in zip(edges, axes)], 1)
         return pd.Series(hilbert_index(cells, BITS))
 

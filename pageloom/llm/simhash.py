@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm.components import components
-from pageloom.llm.frames import fresh, slices, small, table
+from pageloom.llm.frames import fresh, release, slices, small, table
 from pageloom.session import cut_lineage
 
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             found = [majority(shingle_hashes(words_of(t), shingle)) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("digest"), pa.array(found, pa.int64())], schema=schema)
+        release()
 
     return (docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
             .mapInArrow(of, "doc_id long, digest long, fingerprint long"))
@@ -123,6 +124,9 @@ def position_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     so at most one row for each member.
     """
     kept = list(combinations(range(BYTES), BYTES - max_bits))
+    # Few rows become many here, so they are dealt out first.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = prints.select("fingerprint").repartition(parts, "fingerprint")
     masks = []
     for k, positions in enumerate(kept):
         mask = sum(0xFF << 8 * p for p in positions)
@@ -137,6 +141,7 @@ def position_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
         for part in slices(batches, rows=2000):
             found = [link_list(np.array(m, np.int64), max_bits) for m in part.column("members").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], schema=schema)
+        release()
 
     return lists.mapInArrow(links, "src long, dst long")
 

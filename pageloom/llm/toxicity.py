@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm.frames import slices, table
+from pageloom.llm.frames import release, slices, table
 
 DECAY = 0.6
 LONGEST, STEP = 32, 16
@@ -354,6 +354,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = [t or "" for t in part.column("text").to_pylist()]
             found = model.scores(model.margins(reader.sentences(texts))) if model else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.float64())], schema=schema)
+        del reader
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, score double")
 
@@ -372,6 +374,8 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.5) ->
             texts = [t or "" for t in part.column("text").to_pylist()]
             found = model.scores(model.margins(reader.sentences(texts)))
             yield part.filter(pa.array([s < threshold or not t for s, t in zip(found, texts)], pa.bool_()))
+        del reader
+        release()
 
     return docs.mapInArrow(of, docs.schema)
 
