@@ -126,7 +126,8 @@ def _bare_names() -> str:
 def decode_sql(x: str, attribute: bool = False) -> str:
     """SQL that decodes character references in the bound name ``x``.
 
-    The longest name that fits counts, with its semicolon or, for the names that allow it, without. In an attribute value
+    The longest name that fits counts, with its semicolon or, for the names that allow it, without; a name with a semicolon that is
+    not known stays as it is. In an attribute value
     (``attribute``) a name without semicolon in front of ``=``, a letter or a digit is no reference, so addresses with query strings
     stay as they are. Text without references and text whose only reference is ``&amp;`` stay on plain string
     functions; only the rest is cut into pieces.
@@ -152,11 +153,7 @@ def decode_sql(x: str, attribute: bool = False) -> str:
         "THEN decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') "
         "WHEN n IS NOT NULL THEN '\ufffd' END"
     )
-    # In text a name that is not known may begin with one that needs no semicolon; the last piece is that name or empty.
-    bare = f"regexp_extract(p, '^&(?:{_bare_names()})', 0)"
-    named = value("p") if attribute else (
-        f"get(transform(array({bare}), q -> coalesce({value('p')}, "
-        f"CASE WHEN q != '' THEN concat({value('q')}, substr(p, length(q) + 1)) END)), 0)")
+    named = value("p")
     piece = (
         "CASE WHEN NOT startswith(p, '&') THEN p "
         f"WHEN startswith(p, '&#') THEN coalesce(get(transform(array({number}), n -> {character}), 0), p) "
