@@ -14,7 +14,7 @@ from pageloom.llm.packing import pack
 from pageloom.llm.simhash import one_of_each
 from pageloom.llm.toxicity import keep_clean, train
 from pageloom.llm.winnow import decontaminate
-from pageloom.session import cut_lineage, scratch_dir
+from pageloom.session import configure, cut_lineage, scratch_dir
 
 
 # All stages: other columns, whatever their names, are passed on; a null text counts as empty; repeated rows are treated
@@ -23,6 +23,7 @@ from pageloom.session import cut_lineage, scratch_dir
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; null and empty texts stay, and all do when a class has no labelled document."""
+    configure(spark)
     return keep_clean(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
