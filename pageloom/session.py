@@ -35,9 +35,8 @@ def scratch_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{uuid.uuid4().hex}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # The application's name for itself, so that all of its frames share the folder.
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
