@@ -190,7 +190,8 @@ def compare_texts(texts: DataFrame, base: str, key: str = "page_id") -> DataFram
 
     sides = F.flatten(F.array(*[sided(k) for k in range(len(names))]))
     lengths = F.struct(*[F.length(n).cast("bigint").alias(n) for n in names])
-    rows = texts.select(key, lengths.alias("_chars"), F.inline_outer(sides))
+    # Measured before the tokens are listed: else each token's row has the whole texts, and the work grows with a page's square.
+    rows = texts.select(key, lengths.alias("_chars"), sides.alias("_sides")).select(key, "_chars", F.inline_outer("_sides"))
     per_token = rows.groupBy(key, "_chars", "token").agg(*[
         F.count(F.when(F.col("side") == k, 1)).alias(f"_n{k}") for k in range(len(names))])
     own = f"_n{names.index(base)}"

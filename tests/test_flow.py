@@ -180,3 +180,14 @@ def test_fallback_runs_its_rows_once(spark):
     other = spark.range(5)
     assert fallback_to(rows.mapInArrow(count, rows.schema), other).count() == 10 and runs.value == 10
     assert fallback_to(rows.filter("id < 0"), other).count() == 5
+
+
+def test_compared_texts_are_measured_before_their_tokens_are_listed(spark):
+    """A token's row holds no text: else the work grows with the square of a page's size."""
+    texts = spark.createDataFrame([(1, "a b a", "a b"), (2, "", None)], "page_id long, declared string, other string")
+    rows = compare_texts(texts, "declared")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    listing = next(k for k, line in enumerate(plan) if "Generate inline" in line and "_sides" in line)
+    assert not any("length(" in line for line in plan[:listing + 1])
+    got = {(r.page_id, r.extractor): (r.chars, round(r.similarity, 6)) for r in rows.collect()}
+    assert got == {(1, "declared"): (5, 1.0), (1, "other"): (3, 0.8), (2, "declared"): (0, 1.0), (2, "other"): (None, 1.0)}
