@@ -84,6 +84,8 @@ def site_map(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_urls: int =
     to ``depth`` links away are expanded, so targets up to ``depth + 1`` are
     returned; a seed itself is returned only when something links to it.
     """
+    if "links" in edges.columns:
+        edges = cut_lineage(edges, "adjacency")  # each page is read once for all levels
     expand = links_from(edges, max_urls)
     frontier = seeds.select("seed").distinct().withColumns({
         "url": F.col("seed"), "key": F.array().cast(NO_PATH), "left": F.lit(max_urls).cast("long")})

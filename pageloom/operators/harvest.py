@@ -36,7 +36,8 @@ def harvest(captures: DataFrame, pattern: str = ONION_URL, limit: int = 20,
         kept = F.filter(matches, lambda u: safe_url(u, trusted)
                         & excludes_self(u, netloc(F.col("source"))) & ~is_noise_url(u))
         urls = F.slice(F.array_distinct(F.transform(kept, trim_slashes)), 1, limit)
-        return captures.select(key, "source", *keep, F.posexplode(urls).alias("pos", "url"))
+        # Not plain posexplode: its test for empty lists would be pushed down and search each capture twice.
+        return captures.select(key, "source", *keep, F.posexplode_outer(urls).alias("pos", "url")).where("pos IS NOT NULL")
     rows = captures.select(key, "source", *keep, F.posexplode(matches).alias("pos", "_u"))
     rows = rows.filter(excludes_self(F.col("_u"), netloc(F.col("source")))
                        & ~is_noise_url(F.col("_u")))
@@ -72,7 +73,7 @@ def external_seeds(pages: DataFrame, pattern: str, trusted: Sequence[str] = (),
     """External URLs in the text of directory pages: ``(key, page_url, pos, url)``."""
     kept = external_urls_in(F.col("html"), F.col("url"), pattern, trusted)
     return pages.select(key, F.col("url").alias("page_url"),
-                        F.posexplode(kept).alias("pos", "_u")).withColumnRenamed("_u", "url")
+                        F.posexplode_outer(kept).alias("pos", "_u")).where("pos IS NOT NULL").withColumnRenamed("_u", "url")
 
 
 def flat_directories(directories: DataFrame) -> DataFrame:

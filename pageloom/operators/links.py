@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.html import attr, first_tag, inner_text, without_raw_text
+from pageloom.functions.text import let
 from pageloom.functions.url import (
     external_to, hostname, item_text, netloc, safe_url, same_host, url_join,
 )
@@ -85,18 +86,22 @@ def page_adjacency(pages: DataFrame, trusted: Sequence[str] = (), first: int | N
     """Same-host, safe links of each page as one row: ``(src, links: array<struct<pos, dst, anchor>>)``.
 
     The row-local form of :func:`link_edges`: a target that a page repeats keeps its first place, and at most the ``first``
-    targets are kept, so what a page adds to a traversal is bounded before anything is shuffled.
+    targets are kept, so what a page adds to a traversal is bounded before anything is shuffled. Pages without links have
+    an empty list: a filter on it would be pushed down and read the page twice.
     """
     def edge(x: Column) -> Column:
         return F.struct(x["pos"].alias("pos"), x["dst"].alias("dst"), F.substring(x["text"], 1, ANCHOR_CHARS).alias("anchor"))
 
     kept = F.filter(link_array(F.col("html"), F.col("url")),
                     lambda x: same_host(x["dst"], F.col("url")) & safe_url(x["dst"], trusted))
-    rows = pages.select(F.col("url").alias("src"), F.transform(kept, edge).alias("links"))
-    # The place of each target's first link among the targets tells repeats apart.
-    targets = F.transform("links", lambda x: x["dst"])
-    once = F.filter("links", lambda x, i: F.array_position(targets, x["dst"]) == i + 1)
-    return rows.select("src", (F.slice(once, 1, first) if first else once).alias("links")).where("size(links) > 0")
+
+    def once(links: Column, targets: Column) -> Column:
+        # The place of each target's first link among the targets tells repeats apart.
+        return F.filter(links, lambda x, i: F.array_position(targets, x["dst"]) == i + 1)
+
+    # Bound, so that no lambda and no test on the links works the page through again.
+    links = let(F.transform(kept, edge), lambda e: let(F.transform(e, lambda x: x["dst"]), lambda t: once(e, t)))
+    return pages.select(F.col("url").alias("src"), (F.slice(links, 1, first) if first else links).alias("links"))
 
 
 def external_urls(links: DataFrame) -> DataFrame:

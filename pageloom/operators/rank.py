@@ -161,6 +161,60 @@ def indexed_relevance(index: TermIndex, terms: Sequence[str]) -> DataFrame:
     return hits.withColumn("_part", idf * tf * (K1 + 1) / norm).groupBy("key").agg(F.sum("_part").alias("score"))
 
 
+def _best_scored(scored: DataFrame, feedback: int) -> DataFrame:
+    """Keys of the best scored documents, written; rounded, so that equal scores tie whatever order their terms were added in."""
+    return cut_lineage(scored.orderBy(F.desc(F.round("score", 9)), "key").limit(feedback).select("key"), "feedback")
+
+
+def _near_in_index(index: TermIndex, terms: Sequence[str], feedback: int) -> tuple[DataFrame, DataFrame, int]:
+    """Terms of the feedback documents ``(term, tf)``, in how many documents each occurs ``(term, df)``, and all documents."""
+    top = _best_scored(indexed_relevance(index, terms), feedback)
+    near = index.postings.join(F.broadcast(top), "key", "left_semi").filter(~F.col("term").isin(*terms or [""]))
+    # Terms of the feedback documents only: written once, because it is used twice.
+    near = cut_lineage(near.groupBy("term").agg(F.sum("tf").alias("tf")), "near-terms")
+    spread = index.postings.select("term").join(near.select("term"), "term", "left_semi").groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"))
+    return near, spread, index.documents
+
+
+def _near_in_texts(documents: DataFrame, terms: Sequence[str], feedback: int, text: str,
+                   key: str) -> tuple[DataFrame, DataFrame, int]:
+    """As :func:`_near_in_index`, from the texts: counted row by row, then once more against the terms of the feedback documents.
+
+    As in an index, rows of one key and number of words are one document.
+    """
+    docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    places = range(len(terms))
+    counted = _counted(docs, "text", terms) if terms else docs.withColumns({
+        "_tf": F.array().cast("array<int>"), "_len": F.lit(0.0)})
+    sized = cut_lineage(counted.select("key", "_len", "_tf").groupBy("key", "_len").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_tf")[i]).alias(f"tf{i}") for i in places]), "sized")
+    stats = sized.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.col("_len") * F.col("n")) / F.sum("n")).alias("avg"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("copies"),
+        *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in places]).first()
+    score, found = F.lit(0.0), F.lit(False)
+    for i in places:
+        tf, df = F.col(f"tf{i}").cast("double"), stats[f"df{i}"]
+        idf = math.log(1.0 + (stats["n"] - df + 0.5) / (df + 0.5))
+        norm = tf + K1 * (1 - B + B * F.col("_len") / F.lit(stats["avg"] or 1.0))
+        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / norm).otherwise(0.0)
+        found = found | (tf > 0)
+    top = _best_scored(sized.filter(found).groupBy("key").agg(F.sum(score).alias("score")), feedback)
+    split = words(F.coalesce(F.col("text"), F.lit("")))
+    near = docs.join(F.broadcast(top), "key", "left_semi").select(F.explode(split).alias("term"))
+    near = cut_lineage(near.filter(~F.col("term").isin(*terms or [""])).groupBy("term").agg(
+        F.count(F.lit(1)).alias("tf")), "near-terms")
+    # Not plain explode: its test for empty lists would be pushed down and split each text once more.
+    hits = docs.select("key", split.alias("_words")).select(
+        "key", F.size("_words").alias("_len"), F.explode_outer(F.array_distinct("_words")).alias("term"))
+    # No more terms than the feedback documents have words.
+    hits = hits.join(F.broadcast(near.select("term")), "term", "left_semi")
+    if stats["copies"] > 1:
+        hits = hits.distinct()
+    return near, hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats["n"]
+
+
 def expand_query(documents: DataFrame, goal: str, n: int = 6, feedback: int = 10,
                  text: str = "text", key: str = "doc_id", index: TermIndex | None = None) -> DataFrame:
     """Search queries from the corpus: goal plus its best co-occurring terms.
@@ -169,20 +223,16 @@ def expand_query(documents: DataFrame, goal: str, n: int = 6, feedback: int = 10
     feedback, give candidate terms; each is weighted by its frequency there and its
     rarity in the whole corpus. Returns
     ``(query_no, query)``; the bare goal when nothing matches. All of it is read from the
-    ``index`` of the corpus, which is written first unless it is given.
+    ``index`` of the corpus if one is given; for a single goal the texts are gone through instead, and nothing the size of the
+    corpus is shuffled or written.
     """
     terms = query_terms(goal)
-    index = term_index(documents, text, key) if index is None else index
-    scored = indexed_relevance(index, terms)
-    # Rounded, so that equal scores tie whatever order their terms were added in.
-    top = cut_lineage(scored.orderBy(F.desc(F.round("score", 9)), "key").limit(feedback).select("key"), "feedback")
-    near = index.postings.join(F.broadcast(top), "key", "left_semi").filter(~F.col("term").isin(*terms or [""]))
-    # Terms of the feedback documents only: written once, because it is used twice below.
-    near = cut_lineage(near.groupBy("term").agg(F.sum("tf").alias("tf")), "near-terms")
-    spread = index.postings.select("term").join(near.select("term"), "term", "left_semi").groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"))
+    if index is None:
+        near, spread, count = _near_in_texts(documents, terms, feedback, text, key)
+    else:
+        near, spread, count = _near_in_index(index, terms, feedback)
     weighted = near.join(spread, "term").withColumn(
-        "weight", F.round(F.col("tf") * F.log(F.lit(1.0 + index.documents) / F.col("df")), 6))
+        "weight", F.round(F.col("tf") * F.log(F.lit(1.0 + count) / F.col("df")), 6))
     best = cut_lineage(weighted.orderBy(F.desc("weight"), "term").limit(n), "best-terms")
     numbered = best.withColumn("query_no", F.row_number().over(
         Window.orderBy(F.desc("weight"), "term"))).select(

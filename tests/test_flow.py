@@ -191,3 +191,22 @@ def test_compared_texts_are_measured_before_their_tokens_are_listed(spark):
     assert not any("length(" in line for line in plan[:listing + 1])
     got = {(r.page_id, r.extractor): (r.chars, round(r.similarity, 6)) for r in rows.collect()}
     assert got == {(1, "declared"): (5, 1.0), (1, "other"): (3, 0.8), (2, "declared"): (0, 1.0), (2, "other"): (None, 1.0)}
+
+
+def test_a_page_is_worked_through_once_for_its_adjacency(spark, small):
+    rows = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html")
+    plan = page_adjacency(rows, TRUSTED, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(regexp_replace(html") == 1
+
+
+def test_query_expansion_of_one_goal_writes_no_index(spark, monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(30)] + ["alpha", "beta"]
+    rows = [(k % 40 if k % 7 else None, " ".join(rng.choices(words, k=rng.randrange(1, 5)))) for k in range(120)]
+    rows += [(200, None), (201, ""), *rows[:20]]  # repeated and absent keys, as in the index
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = term_index(docs)
+    wanted = {goal: expand_query(docs, goal, 8, 3, index=index).collect() for goal in ("alpha beta", "alpha w3", "none", "")}
+    monkeypatch.setattr("pageloom.operators.rank.term_index", None)
+    for goal, queries in wanted.items():
+        assert expand_query(docs, goal, 8, 3).collect() == queries
