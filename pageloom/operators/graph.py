@@ -44,7 +44,8 @@ def links_from(edges: DataFrame, cap: int | None = None) -> Expand:
         rest = [c for c in edges.columns if c not in ("src", "pos", "dst")]
         unique = near.groupBy("src", "dst").agg(
             F.min("pos").alias("pos"), *[F.min_by(c, "pos").alias(c) for c in rest])
-        return first_per_group(unique, ["src"], ["pos"], cap).select(*edges.columns)
+        # Written, so that its size is known: few links, and it is these that are sent to the tasks of a large frontier.
+        return cut_lineage(first_per_group(unique, ["src"], ["pos"], cap).select(*edges.columns), "links")
 
     return expand
 
@@ -55,6 +56,9 @@ def _children(frontier: DataFrame, links: DataFrame, group: str, anchor: bool) -
     key = F.array_append("key", F.col("pos").cast("long"))
     step = step.select(group, F.col("dst").alias("url"), key.alias("key"), "left",
                        *(["anchor"] if anchor else []))
+    # Few bytes of links may give very many rows, so they are dealt out by group, to a fixed number of partitions, before
+    # they are sorted; a group has at most the square of its cap. Its grouping and ranking need no further shuffle.
+    step = step.repartition(int(step.sparkSession.conf.get("spark.sql.shuffle.partitions")), group)
     aggs = [F.min("key").alias("key"), F.max("left").alias("left")]
     if anchor:
         aggs.append(F.min_by("anchor", "key").alias("anchor"))
@@ -87,8 +91,9 @@ def site_map(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_urls: int =
     if "links" in edges.columns:
         edges = cut_lineage(edges, "adjacency")  # each page is read once for all levels
     expand = links_from(edges, max_urls)
-    frontier = seeds.select("seed").distinct().withColumns({
-        "url": F.col("seed"), "key": F.array().cast(NO_PATH), "left": F.lit(max_urls).cast("long")})
+    # Written: else the rows found from the seeds stay in the few partitions that the seeds need.
+    frontier = cut_lineage(seeds.select("seed").distinct().withColumns({
+        "url": F.col("seed"), "key": F.array().cast(NO_PATH), "left": F.lit(max_urls).cast("long")}), "map-seeds")
     found: DataFrame | None = None
     for level in range(depth + 1):
         new = _children(frontier, expand(frontier), "seed", anchor=True)

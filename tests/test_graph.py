@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators.graph import crawl, site_map
+from pageloom.operators.graph import _children, crawl, site_map
 from pageloom.operators.harvest import harvest, search_all, seed_union
 from pageloom.operators.links import link_edges, page_links
 from pageloom.operators.rank import (
@@ -191,3 +191,14 @@ def test_sample_is_repeatable_and_sized(spark):
     one = {(r.run, r.k) for r in repeatable_sample(rows, "run", "k", 5).collect()}
     two = {(r.run, r.k) for r in repeatable_sample(rows.repartition(7), "run", "k", 5).collect()}
     assert one == two and len(one) == 20
+
+
+def test_rows_found_through_few_links_are_dealt_out_by_group(spark):
+    """The links of a hub are few bytes; the rows they give must not stay in one task."""
+    frontier = spark.range(400).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("seed"), F.lit("hub").alias("url"),
+                                       F.array(F.lit(1).cast("long")).alias("key"), F.lit(5).cast("long").alias("left"))
+    links = spark.createDataFrame([("hub", k, f"t{k}", "") for k in range(5)], SCHEMA)
+    found = _children(frontier, links, "seed", anchor=True)
+    tasks = found.select("seed", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({t.task for t in tasks}) == 8 and len(tasks) == 400  # a seed lies in one task
+    assert found.count() == 2000
